@@ -21,23 +21,24 @@ WINDOW = 8
 
 
 def measures(text: Column) -> Column:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, as a struct."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of a text, as a struct."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, GAP), lambda w: w != "")
+    words = F.array_remove(F.split(text, GAP), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     of_words = let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), repeat_words(ws).alias("n_repeat_words")))
-    return let(of_words, lambda m: F.struct(
-        m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        m["n_repeat_words"].alias("n_repeat_words"),
-    ))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    return F.struct(of_words.alias("w"), of_lines.alias("l"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"))
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 8-word windows that are found twice or more; windows are told apart by a 64-bit hash."""
-    n = F.size(words)
-    windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    """Words inside 8-word windows that are found twice or more; windows are told apart by a 64-bit hash.
+
+    Hashes of 1, 2, 4 and then 8 words: each is made from two of half its length.
+    """
+    joined = lambda a, k: F.transform(a, lambda x, i: F.xxhash64(x, F.get(a, i + k)))
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    eight = let(single, lambda a: let(joined(a, 1), lambda b: let(joined(b, 2), lambda c: joined(c, 4))))
+    windows = F.when(F.size(words) > WINDOW, F.slice(eight, F.lit(1), F.size(words) - (WINDOW - 1)))
     return F.coalesce(let(windows, lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), _covered(v)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
 
@@ -74,8 +75,7 @@ def host_verdicts(measured: DataFrame, host_limit: float = 0.5) -> DataFrame:
 
 def judge_documents(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """doc_id, source, the measures, base_failed, host_kept and kept, one row per document."""
-    lines = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    measured = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("source"), measures(docs[text_col]).alias("m"), lines.alias("n_lines")).select("doc_id", "source", "m.*", "n_lines")
+    measured = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("source"), measures(docs[text_col]).alias("m")).select("doc_id", "source", "m.w.*", "m.l.*", "m.n_symbols")
     measured = materialize(measured.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
     hosts = broadcast_if_small(materialize(host_verdicts(measured, host_limit).select(F.col("source").alias("of"), "rate", "host_kept")))
     joined = measured.join(hosts, measured["source"].eqNullSafe(hosts["of"]), "inner").drop("of")
