@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, host_rules, mixing, secrets
+from . import audio, bpe, host_rules, mixing, secrets, simhash
 from .common import documents
 
 
@@ -83,6 +83,12 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw <
 """
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of each document."""
     judged = host_rules.judge_documents(documents(spark, sf_dir))
@@ -124,6 +130,7 @@ QUERIES = {
     "op3_audio": op3_audio,
     "op4_bpe": op4_bpe,
     "op5_mix": op5_mix,
+    "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
 }
 ORACLES = {"op5_mix": OP5_SQL, "op8_host_rules": OP8_SQL}
