@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, host_rules, mixing, secrets, simhash
+from . import audio, bpe, host_rules, line_dedup, mixing, secrets, simhash
 from .common import documents
 
 
@@ -125,6 +125,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate."""
+    return line_dedup.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+OP10_SQL = r"""
+WITH split AS (SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+spread AS (
+  SELECT line, min(doc_id) AS first_id FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT site) >= 10),
+kept AS (
+  SELECT s.doc_id, s.i, s.line, regexp_matches(s.line, '[^\x20\x09-\x0D]') AS counts, b.line IS NOT NULL AND s.doc_id <> b.first_id AS gone
+  FROM split s LEFT JOIN spread b ON s.line = b.line)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
+  count(*) FILTER (WHERE counts) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+FROM kept GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_audio": op3_audio,
@@ -132,5 +149,6 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op5_mix": OP5_SQL, "op8_host_rules": OP8_SQL}
+ORACLES = {"op5_mix": OP5_SQL, "op8_host_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}
