@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, host_rules, line_dedup, mixing, secrets, simhash
-from .common import documents
+from . import audio, bpe, host_rules, line_dedup, mixing, quality, secrets, simhash
+from .common import bucket, documents
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir)).mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by a model of the labelled documents that aren't held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(bucket(F.col("doc_id"), 5) != 0)
+    scored = quality.score_documents(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the stored sound and of its features."""
     f = audio.audio_features(audio.store_audio(documents(spark, sf_dir)))
@@ -144,6 +152,7 @@ FROM kept GROUP BY doc_id
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op3_audio": op3_audio,
     "op4_bpe": op4_bpe,
     "op5_mix": op5_mix,
