@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, host_rules, line_dedup, mixing, quality, secrets, simhash
+from . import audio, bpe, host_rules, language, line_dedup, mixing, quality, secrets, simhash
 from .common import bucket, documents
 
 
@@ -133,6 +133,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a model of the documents that aren't held out."""
+    docs = documents(spark, sf_dir)
+    held = bucket(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held).select("doc_id", "text", "lang"))
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate."""
     return line_dedup.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
@@ -158,6 +166,7 @@ QUERIES = {
     "op5_mix": op5_mix,
     "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
+    "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op5_mix": OP5_SQL, "op8_host_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}
