@@ -58,6 +58,46 @@ def slices(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The part and the hash (ASCII letters as lower case) of each word."""
+    data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+    gap = _SPACE[data]
+    start = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    end = np.flatnonzero(gap & np.append(False, ~gap[:-1]))
+    length = end - start
+    inside = np.flatnonzero(~gap)
+    first_of = np.cumsum(length) - length
+    place = np.arange(len(inside)) - np.repeat(first_of, length)
+    word = _mix(np.add.reduceat(_TABLE[_LOWER[data[inside]] + 256 * (place & 15)], first_of))
+    return np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right"), word
+
+
+def word_blocks(docs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of documents as (first document, document of each word, word hash)."""
+    for first, held in blocks(docs):
+        if len(held) == 1 and len(held[0]) > SLICE:
+            word = np.concatenate([word_hashes([s])[1] for s in slices(held[0])])
+            yield first, np.zeros(len(word), np.int64), word
+        else:
+            yield (first, *word_hashes(held))
+
+
+def blocks(docs: list[str]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of documents of some MB as (first document, UTF-8 texts); one longer than SLICE stands alone."""
+    held, size, first = [], 0, 0
+    for k, t in enumerate(docs):
+        raw = t.encode()
+        if held and size + len(raw) > SLICE // 2:
+            yield first, held
+            held, size, first = [], 0, k
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield first, held
+
+
 def ngrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (part, n-gram) pairs as two arrays, sorted by part. n-grams are hashes below SIZE."""
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
@@ -115,23 +155,12 @@ def ngrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def indicators(docs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of documents as (first document, document of each n-gram, n-gram)."""
-    held, size, first = [], 0, 0
-    for k, t in enumerate(docs):
-        raw = t.encode()
-        if len(raw) > SLICE:
-            if held:
-                yield (first, *ngrams(held))
-            held, size, first = [], 0, k + 1
-            seen = np.unique(np.concatenate([ngrams([s])[1] for s in slices(raw)]))
-            yield k, np.zeros(len(seen), np.int64), seen
-            continue
-        held.append(raw)
-        size += len(raw)
-        if size > SLICE // 2:
+    for first, held in blocks(docs):
+        if len(held) == 1 and len(held[0]) > SLICE:
+            seen = np.unique(np.concatenate([ngrams([s])[1] for s in slices(held[0])]))
+            yield first, np.zeros(len(seen), np.int64), seen
+        else:
             yield (first, *ngrams(held))
-            held, size, first = [], 0, k + 1
-    if held:
-        yield (first, *ngrams(held))
 
 
 @dataclass

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, host_rules, language, line_dedup, mixing, quality, secrets, simhash
+from . import audio, bpe, host_rules, language, line_dedup, mixing, quality, secrets, simhash, substring
 from .common import bucket, documents
 
 
@@ -91,6 +91,11 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + (draw <
 """
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share."""
+    return substring.shared_passages(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
@@ -164,6 +169,7 @@ QUERIES = {
     "op3_audio": op3_audio,
     "op4_bpe": op4_bpe,
     "op5_mix": op5_mix,
+    "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
     "op9_language": op9_language,
