@@ -288,3 +288,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(model.margins(texts(b))))], ["doc_id", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep_documents(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score at least this."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(model.margins(texts(b, text_col))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

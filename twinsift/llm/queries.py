@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import audio, bpe, host_rules, language, line_dedup, mixing, quality, secrets, simhash, substring
 from .common import bucket, documents
 
@@ -174,5 +176,6 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_language": op9_language,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op5_mix": OP5_SQL, "op8_host_rules": OP8_SQL, "op10_line_dedup": OP10_SQL}

@@ -62,8 +62,8 @@ def _second(hashes: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, fp and fp2: two words of 64 bits as long."""
+def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, fp and fp2: two words of 64 bits as long. distinct: a text's equal shingles count once."""
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text_col: str = "text", id_col
             both = np.zeros((b.num_rows, 2), np.uint64)
             for k, t in enumerate(texts(b)):
                 h = shingle_hashes(t, width)
+                h = np.unique(h) if distinct else h
                 if len(h):
                     both[k] = _majority(h), _majority(_second(h))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(both[:, k].view(np.int64)) for k in (0, 1))], ["doc_id", "fp", "fp2"])
@@ -235,9 +236,9 @@ def link_cell(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, role: np.ndarra
     return ids[moved], ids[root[moved]]
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, check_bits: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, check_bits: int | None = None, distinct: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, fp, fp2 and component_id, one row per document."""
-    fps = materialize(fingerprints(docs, width, text_col, id_col))
+    fps = materialize(fingerprints(docs, width, distinct, text_col, id_col))
     of = ["fp", "fp2"] if check_bits is not None else ["fp"]
     # Fingerprints alone don't hold the second word of the least id's text when only the first counts.
     nodes = fps.groupBy(*of).agg(F.min("doc_id").alias("node"))
