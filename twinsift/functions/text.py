@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLOCK = r"(?s)/\*.*?\*/"
 LINE = r"(?dm)//.*?$"
@@ -99,7 +100,7 @@ def rename_words(code: str, lang: str | None) -> str:
     return _ID.sub(name, code)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rename_identifiers(code: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else rename_words(c, x) for c, x in zip(code, lang)])
 
@@ -132,7 +133,7 @@ def shingles(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shingle_id(shingle: pd.Series) -> pd.Series:
     """blake2b of 8 bytes in hex, the id of a stop-listed shingle; called on the few that are kept."""
     from hashlib import blake2b

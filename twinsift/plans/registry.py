@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from . import search_plans, text_plans
+
+MODULES = [search_plans, text_plans]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Nearest documents with text for a few query vectors."""
+    return search_plans.knn_with_text(spark, sf_dir)
 
 
 def queries() -> dict:
