@@ -34,6 +34,7 @@ def where_all(model: str | None = None, pooling: str | None = None, transform_ve
 
 
 def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search_plans, text_plans
+from . import etl_plans, pair_plans, search_plans, text_plans
 
-MODULES = [search_plans, text_plans]
+MODULES = [search_plans, text_plans, pair_plans, etl_plans]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def get_code_by_id(spark, d):
 
 
 def fetch_by_uid(spark, d):
-    return codes(spark, d).where((F.col("lang") == "en") & (F.col("split") == "src3") & F.concat(F.col("code_id").cast("string"), F.lit("_1")).isin("3_1", "23_1", "43_1")).select("code_id", "code")
+    return codes(spark, d).where((F.col("lang") == "fr") & (F.col("split") == "src3") & F.concat(F.col("code_id").cast("string"), F.lit("_1")).isin("3_1", "23_1", "43_1")).select("code_id", "code")
 
 
 def storage_health(spark, d):
@@ -162,7 +162,7 @@ PLANS = {
     "search_text_langs": (search_text_langs, "SELECT doc_id AS code_id, lang, source AS split, lang || '/' || doc_id AS public_id FROM documents WHERE contains(lower(text), 'on') AND lang IN ('de', 'fr') ORDER BY doc_id LIMIT 50"),
     "search_text_total": (search_text_total, "SELECT count(*) AS total FROM documents WHERE contains(lower(text), 'license')"),
     "get_code_by_id": (get_code_by_id, "SELECT w AS wanted, doc_id AS code_id, lang, source AS split, text AS code FROM documents JOIN (VALUES ('en/5'), ('7'), ('zz/9')) t(w) ON w = lang || '/' || doc_id OR w = doc_id::VARCHAR"),
-    "fetch_by_uid": (fetch_by_uid, "SELECT doc_id AS code_id, text AS code FROM documents WHERE lang = 'en' AND source = 'src3' AND doc_id || '_1' IN ('3_1', '23_1', '43_1')"),
+    "fetch_by_uid": (fetch_by_uid, "SELECT doc_id AS code_id, text AS code FROM documents WHERE lang = 'fr' AND source = 'src3' AND doc_id || '_1' IN ('3_1', '23_1', '43_1')"),
     "storage_health": (storage_health, "SELECT (SELECT count(*) FROM documents) AS codes, (SELECT count(*) FROM embeddings) AS embeddings"),
     "filter_builder": (filter_builder, "SELECT doc_id AS code_id, lang, source AS split FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND doc_id <> 1 AND doc_id::VARCHAR LIKE '1%'"),
     "exact_top_k": (exact_top_k, f"WITH {_knn_sql('embeddings', TOP, more='e.vec_id <> query_id')} SELECT query_id, code_id, similarity, rank FROM near"),
