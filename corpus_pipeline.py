@@ -28,7 +28,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that many sources share; n_chars follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    cleaned = line_dedup.remove_boilerplate(docs, counts=False)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 

@@ -40,15 +40,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "te
     return materialize(sure.select("line", "first_id").unionByName(likely.join(exact, "line", "left_semi").select("line", "first_id")))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with shorter texts, and n_lines and n_removed (lines that count)."""
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id", counts: bool = True) -> DataFrame:
+    """docs with shorter texts, and with n_lines and n_removed (of lines that count) in place of any such columns."""
     known = broadcast_if_small(boilerplate(docs, min_sites, text_col, site_col, id_col))
-    held = docs.select(docs[id_col].alias("_id"), F.explode(F.array_distinct(F.transform(_lines(docs[text_col]), lambda x: F.xxhash64(x)))).alias("line"))
-    drop = held.join(known, "line").where("_id <> first_id").groupBy("_id").agg(F.collect_set("line").alias("_drop"))
-    text = F.col(text_col)
-    bad = lambda x: F.array_contains(F.col("_drop"), F.xxhash64(x))
-    shorter = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~bad(x)), "\n"))
-    removed = F.when(F.col("_drop").isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), bad)))
-    joined = docs.join(drop, docs[id_col] == drop["_id"], "left")
-    counted = joined.withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")).withColumn("n_removed", removed.cast("long"))
-    return counted.withColumn(text_col, shorter).select(*docs.columns, "n_lines", "n_removed")
+    held = docs.select(docs[id_col].alias("holder"), F.explode(F.array_distinct(F.transform(_lines(docs[text_col]), lambda x: F.xxhash64(x)))).alias("line"))
+    drop = held.join(known, "line").where("holder <> first_id").groupBy("holder").agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("of"))
+    text, gone = F.col("row")[text_col], F.col("gone")
+    bad = lambda x: F.array_contains(gone, F.xxhash64(x))
+    shorter = F.when(gone.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~bad(x)), "\n"))
+    removed = F.when(gone.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), bad)))
+    added = {"n_lines": F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long"), "n_removed": removed.cast("long")} if counts else {}
+    kept = [(shorter if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in added]
+    return rows.join(drop, F.col("of") == F.col("holder"), "left").select(*kept, *[v.alias(k) for k, v in added.items()])

@@ -75,13 +75,11 @@ class _Parts:
     def linked(self, start: int, end: int) -> bool:
         """Whether a span of these, other than itself, lies within reach and scope."""
         k = bisect_left(self.starts, start)
-        # The scope ends at the nearest blank lines; only the nearest span on either side can be the closest.
-        c = bisect_right(self.cuts, start)
-        low = max(start - self.reach, self.cuts[c - 1] if c else 0)
-        d = bisect_left(self.cuts, end)
-        high = min(end + self.reach, self.cuts[d] if d < len(self.cuts) else 1 << 60)
+        # The scope lies between the nearest blank lines; only the nearest spans on either side can be the closest.
+        c, d = bisect_right(self.cuts, start), bisect_left(self.cuts, end)
+        above, below = self.cuts[c - 1] if c else -1, self.cuts[d] if d < len(self.cuts) else 1 << 60
         near = [i for i in (k - 2, k - 1, k, k + 1) if 0 <= i < len(self.spans) and self.spans[i] != (start, end)]
-        return any(self.ends[i] >= low and self.starts[i] <= high for i in near)
+        return any(above < self.starts[i] < below and self.ends[i] >= start - self.reach and self.starts[i] <= end + self.reach for i in near)
 
 
 def credential_spans(text: str, reach: int = 200) -> list[tuple[str, int, int, bool]]:
