@@ -205,7 +205,7 @@ def _band(anchors, width=WIDTH):
     return f"SELECT a.lang, a.uid AS a_uid, b.uid AS b_uid FROM {anchors} a JOIN rows_ b ON a.lang = b.lang AND b.uid > a.uid AND abs(a.size - b.size) <= {width} AND a.md5 <> b.md5"
 
 
-_SCORED = "scored AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.label = b.label)::INT AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 60)"
+_SCORED = "scored AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.label = b.label)::INT AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0::DOUBLE AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 60)"
 _CURVE = f"""{_SCORED},
 per AS (SELECT score, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM scored GROUP BY score),
 curve AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM per)"""
