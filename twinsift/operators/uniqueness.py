@@ -9,20 +9,25 @@ from twinsift.functions import scoring as S
 from twinsift.functions.text import identifier_set, normalize_search, word_set
 
 
-def check(neighbours: DataFrame, queries: DataFrame, codes: DataFrame, top_k: int = 5) -> DataFrame:
-    """query_id, closest_id, similarity and uniqueness_percent, one row a query.
+def features(neighbours: DataFrame, queries: DataFrame, codes: DataFrame, top_k: int = 5) -> DataFrame:
+    """query_id, code_id, rank, similarity, overlap, penalty and score of the neighbours that are scored.
 
     neighbours: query_id, code_id, similarity and rank of the shortlist. queries: query_id, code and lang. Of each shortlist
-    the first max(10, 2 * top_k) are scored; among equal scores the first counts; those without code are passed over.
+    the first max(10, 2 * top_k) are scored; those without code are passed over.
     """
     short = neighbours.where(F.col("rank") <= max(10, 2 * top_k)).join(codes.select("code_id", "code"), "code_id").where("code <> ''")
     q = queries.select("query_id", F.col("code").alias("q_code"), F.col("lang").alias("q_lang"))
     j = short.join(q, "query_id")
     # The sets are columns of their own before they are compared.
     j = j.select("query_id", "code_id", "similarity", "rank", word_set(F.col("q_code"), F.col("q_lang")).alias("a"), word_set(F.col("code"), F.col("q_lang")).alias("b"), F.length("q_code").alias("la"), F.length("code").alias("lb"))
-    overlap = S.jaccard(F.col("a"), F.col("b"))
-    score = S.boilerplate_cap(S.hybrid(F.col("similarity"), overlap, S.length_penalty(F.col("la"), F.col("lb"))), F.col("similarity"), overlap)
-    scored = j.select("query_id", "code_id", "rank", F.round(score, 9).alias("score"))
+    j = j.withColumn("overlap", S.jaccard(F.col("a"), F.col("b"))).withColumn("penalty", S.length_penalty(F.col("la"), F.col("lb")))
+    score = S.boilerplate_cap(S.hybrid(F.col("similarity"), F.col("overlap"), F.col("penalty")), F.col("similarity"), F.col("overlap"))
+    return j.select("query_id", "code_id", "rank", "similarity", "overlap", "penalty", F.round(score, 9).alias("score"))
+
+
+def check(neighbours: DataFrame, queries: DataFrame, codes: DataFrame, top_k: int = 5) -> DataFrame:
+    """query_id, closest_id, similarity and uniqueness_percent, one row a query; among equal scores the first counts."""
+    scored = features(neighbours, queries, codes, top_k)
     best = scored.groupBy("query_id").agg(F.max_by(F.struct("code_id", "score"), F.struct(F.col("score"), -F.col("rank"))).alias("m"))
     found = queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(F.col("m.score") > 0, F.col("m.code_id")).alias("closest_id"), F.greatest(F.coalesce("m.score", F.lit(0.0)), F.lit(0.0)).alias("similarity"))
     return found.withColumn("uniqueness_percent", S.uniqueness_percent(F.col("similarity")))

@@ -94,6 +94,13 @@ def uniqueness_check(spark, d):
     return uniqueness.check(near, _query_texts(spark, d), codes(spark, d), top)
 
 
+def uniqueness_debug(spark, d):
+    """What each neighbour's score is made of."""
+    near = knn.top_k(_queries(spark, d), embeddings(spark, d).join(codes(spark, d).select("code_id"), "code_id", "left_semi"), 20, exclude_self=True)
+    f = uniqueness.features(near, _query_texts(spark, d), codes(spark, d))
+    return f.select("query_id", "code_id", "rank", "similarity", F.round("overlap", 9).alias("overlap"), F.round("penalty", 9).alias("penalty"), "score")
+
+
 def uniqueness_fallback_tier(spark, d):
     """Strict filters first (label and language), then label, then none."""
     meta = embeddings(spark, d).join(codes(spark, d).select("code_id", "lang"), "code_id")
@@ -169,6 +176,12 @@ PLANS = {
     "filtered_knn": (filtered_knn, f"WITH {_knn_sql('(SELECT e0.*, lang FROM embeddings e0 JOIN documents ON doc_id = vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'de' + chr(39) + '))', 5, cols='lang,')} SELECT query_id, code_id, lang, similarity, rank FROM near"),
     "knn_with_text": (knn_with_text, f"WITH {_knn_sql(_HAS_CODE, 5, 5)} SELECT query_id, rank, code_id, similarity, lang, text AS code FROM near JOIN documents ON doc_id = code_id"),
     "vector_literal_knn": (vector_literal_knn, "WITH q AS (SELECT [CASE WHEN i % 2 = 1 THEN 0.125 ELSE -0.125 END::DOUBLE for i in range(64)] AS v), r AS (SELECT vec_id AS code_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, code_id)::INT AS rank FROM r) WHERE rank <= 10"),
+    "uniqueness_debug": (uniqueness_debug, f"""WITH {_knn_sql(_HAS_CODE, 20, more='e.vec_id <> query_id')},
+j AS (SELECT n.query_id, code_id, similarity, rank, {_WORDS.format('q2.text')} AS a, {_WORDS.format('c.text')} AS b, length(q2.text) AS la, length(c.text) AS lb
+  FROM near n JOIN documents c ON c.doc_id = code_id JOIN documents q2 ON q2.doc_id = n.query_id WHERE rank <= 10 AND c.text <> ''),
+s AS (SELECT query_id, code_id, rank, similarity AS cs, {_JACCARD} AS jac, coalesce(exp(-2.0::DOUBLE * abs(la - lb)::DOUBLE / nullif(greatest(la, lb), 0)), 0) AS pen FROM j),
+f AS (SELECT *, round(cs * (0.5::DOUBLE + 0.5::DOUBLE * jac) * pen * CASE WHEN cs > 0.985 AND jac < 0.08 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score FROM s)
+SELECT query_id, code_id, rank, cs AS similarity, round(jac, 9) AS overlap, round(pen, 9) AS penalty, score FROM f"""),
     "uniqueness_check": (uniqueness_check, f"""WITH {_knn_sql(_HAS_CODE, 20, more='e.vec_id <> query_id')},
 j AS (SELECT n.query_id, code_id, similarity, rank, {_WORDS.format('q2.text')} AS a, {_WORDS.format('c.text')} AS b, length(q2.text) AS la, length(c.text) AS lb
   FROM near n JOIN documents c ON c.doc_id = code_id JOIN documents q2 ON q2.doc_id = n.query_id WHERE rank <= 10 AND c.text <> ''),

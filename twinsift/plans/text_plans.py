@@ -65,6 +65,14 @@ def obfuscate(spark, d):
     return _snippets(spark, d, LIGHT).select("doc_id", X.rename_identifiers("code", "lang").alias("out"))
 
 
+def sql_function_normalize(spark, d):
+    """The normaliser as a function in SQL text over a view."""
+    from twinsift.schemas import register
+
+    register(spark, d)
+    return spark.sql("SELECT code_id, normalize_code_light(concat('/* a */ ', code, ' // b\n# c\n')) AS out FROM code_all")
+
+
 def token_stream(spark, d):
     return _snippets(spark, d).select("doc_id", F.size(X.tokens(F.col("code"))).alias("n"), F.array_join(X.tokens(F.col("code")), " ").alias("toks"))
 
@@ -115,6 +123,7 @@ PLANS = {
     "strip_comments": (lambda spark, d: _snippets(spark, d).select("doc_id", X.strip_comments(F.col("code"), F.col("lang")).alias("out")), _from_snippet(f"trim(CASE lang WHEN 'java' THEN {_sub('code', *_C)} WHEN 'php' THEN {_sub('code', *_C, _H)} WHEN 'python' THEN {_sub('code', *_PY, _H)} ELSE {_sub('code', _RB, _H)} END, {SPACES})")),
     "strip_comments_c": (lambda spark, d: _out(X.strip_comments_c(F.col("code")))(spark, d), _from_snippet(f"trim({_sub('code', *_C)}, {SPACES})")),
     "normalize_sql_light": (lambda spark, d: _out(X.normalize_sql_light(F.col("code")))(spark, d), _from_snippet(_sub("code", _C[0], ("(?m)//.*$", ""), ("(?m)#.*$", ""), ("[\\t ]+", " ")))),
+    "sql_function_normalize": (sql_function_normalize, "SELECT code_id, " + _sub("code", _C[0], ("(?m)//.*$", ""), ("(?m)#.*$", ""), ("[\\t ]+", " ")) + " AS out FROM (SELECT doc_id AS code_id, '/* a */ ' || text || ' // b' || chr(10) || '# c' || chr(10) AS code FROM documents)"),
     "normalize_search": (lambda spark, d: _out(X.normalize_search(F.col("code")))(spark, d), _from_snippet(f"trim({_sub('code', *_C, (chr(92) + 's+', ' '))}, {SPACES})")),
     "light_strip": (lambda spark, d: _snippets(spark, d, LIGHT).select("doc_id", X.light_strip(F.col("code"), F.col("lang")).alias("out")), _from_snippet(f"CASE WHEN lang IN ('javascript', 'go') THEN {_sub('code', ('//[^' + chr(92) + 'n]*', ''), _C[0])} WHEN lang = 'python' THEN {_sub('code', _H)} ELSE code END", LIGHT)),
     "normalize_space": (lambda spark, d: _out(X.normalize_space(F.col("code")))(spark, d), _from_snippet(f"trim({_sub('code', (chr(92) + 's+', ' '))})")),
