@@ -159,12 +159,19 @@ def text_payload(text: str) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 or (0 if raw else 64)), len(raw)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: media and tensors of few rows are in memory at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def store_audio(docs: DataFrame, spec: AudioSpec = AudioSpec(), text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and media (WAV bytes), one row per document."""
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             made = [text_payload(t) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([pack_wav(p, spec.rate) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -178,7 +185,7 @@ def audio_features(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFram
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-        for b in batches:
+        for b in blocks(batches):
             cols: list[list] = [[] for _ in range(6)]
             for media in b.column(2).to_pylist():
                 payload, rate = unpack_wav(media)
