@@ -17,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MAX_FIT_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 100_000, 60_000, 5
 PENALTY = 0.5
 CACHE = 200_000
+FLUSH = 100_000
 
 
 def words(text: str) -> list[str]:
@@ -100,17 +102,29 @@ def fit(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, max_words: int = MAX_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            for t, lang in zip(texts(b), b.column(1).to_pylist()):
-                seen[lang].update(words(t))
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for t, lang in zip(texts(part), part.column(1).to_pylist()):
+                    seen[lang].update(words(t))
+                if sum(map(len, seen.values())) > FLUSH:
+                    yield from entries_of(seen)
+                    seen.clear()
+        yield from entries_of(seen)
+
+    def entries_of(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, counted in seen.items():
+            yield from rows_of(0, lang, counted)
             of_grams: Counter = Counter()
             for w, n in counted.items():
                 for k in range(1, longest + 1):
                     for g in grams(w, k):
                         of_grams[g] += n
-            for kind, part in ((0, counted), (1, of_grams)):
-                cols = [pa.array([kind] * len(part), pa.int32()), pa.array([lang] * len(part)), pa.array(list(part), pa.string()), pa.array(list(part.values()), pa.int64())]
-                yield from pa.Table.from_arrays(cols, ["kind", "lang", "gram", "n"]).to_batches(max_chunksize=50_000)
+            yield from rows_of(1, lang, of_grams)
+
+    def rows_of(kind: int, lang: str, part: Counter) -> Iterator[pa.RecordBatch]:
+        items = iter(part.items())
+        while some := list(islice(items, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array([lang] * len(some)), pa.array([g for g, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], ["kind", "lang", "gram", "n"])
 
     # A row per entry with its counts by language; the most frequent ones of either kind are the model.
     entries = sample.mapInArrow(count, "kind int, lang string, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
@@ -137,7 +151,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Scorer(shared.value)
         for b in batches:
-            found = [m.predict(t) for t in texts(b)]
+            found = [x for at in range(0, b.num_rows, 256) for x in map(m.predict, texts(b.slice(at, 256)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
