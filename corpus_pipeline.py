@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import bpe, line_dedup, mixing, quality, simhash
-from twinsift.llm.common import bucket, documents, materialize
+from twinsift.llm.common import bucket, discard, documents, materialize
 
 #: Documents below this probability of being good are rejected.
 MIN_QUALITY = 0.3
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted once the next one's is written."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def runs(keys: np.ndarray) -> np.ndarray:
@@ -64,7 +64,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = materialize(large.where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(old, large)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
