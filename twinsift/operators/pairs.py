@@ -86,8 +86,10 @@ def group_pairs(rows: DataFrame, per_group: int, negative_ratio: float, seed: in
     left = left.where(((F.col("d") - 1) * F.col("k") + F.col("i") < F.col("want")) & ~((2 * F.col("d") == F.col("k")) & (2 * F.col("i") >= F.col("k"))))
     right = placed.select("group", F.col("uid").alias("o_uid"), F.col("i").alias("j"))
     pos = left.withColumn("j", F.pmod(F.col("i") + F.col("d"), F.col("k"))).join(right, ["group", "j"]).select(F.least("uid", "o_uid").alias("a_uid"), F.greatest("uid", "o_uid").alias("b_uid"), F.lit(1).alias("label"))
-    n = pos.agg((F.count(F.lit(1)) * F.lit(max(0.0, negative_ratio))).cast("long").alias("n")).scalar()
-    one = lambda s, u, gr: g.select(F.col("uid").alias(u), F.col("group").alias(gr), F.row_number().over(Window.orderBy(draw(s, F.col("uid")), "uid")).alias("r"))
+    n = int(pos.count() * max(0.0, negative_ratio))
+    # Of two random orders, the first 4 n ranks hold n pairs of different groups with room to spare; nothing beyond is ranked.
+    head = lambda s: g.select("uid", "group", draw(s, F.col("uid")).alias("o")).orderBy("o", "uid").limit(4 * n + 100)
+    one = lambda s, u, gr: head(s).select(F.col("uid").alias(u), F.col("group").alias(gr), F.row_number().over(Window.orderBy("o", "uid")).alias("r"))
     neg = one(seed + 1, "a_uid", "ga").join(one(seed + 2, "b_uid", "gb"), "r").where("ga <> gb")
     neg = neg.withColumn("p", F.row_number().over(Window.orderBy("r"))).where(F.col("p") <= n).select("a_uid", "b_uid", F.lit(0).alias("label"))
     return pos.unionByName(neg)
