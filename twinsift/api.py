@@ -23,9 +23,8 @@ def add_codes(rows: DataFrame, embedder: Embedder | None = None) -> tuple[DataFr
     return codes, embed_codes(codes, e)
 
 
-def embed_codes(codes: DataFrame, embedder: Embedder, masked: bool = True) -> DataFrame:
-    """Embeddings of codes under the profile. ``masked`` is for encoders that pad; the default doesn't."""
-    del masked
+def embed_codes(codes: DataFrame, embedder: Embedder) -> DataFrame:
+    """Embeddings of codes under the profile."""
     fixed = [F.lit(v).alias(k) for k, v in PROFILE.items()]
     return codes.select("code_id", "lang", *fixed, F.lit(embedder.dim).alias("dim"), embed(F.col("code"), embedder).alias("vector"))
 

@@ -152,6 +152,7 @@ near AS (SELECT * FROM (SELECT query_id, e.vec_id AS code_id, {cols} {SIM} AS si
   row_number() OVER (PARTITION BY query_id ORDER BY {SIM} DESC, e.vec_id)::INT AS rank FROM q, {corpus} e WHERE {more}) WHERE rank <= {k})"""
 
 
+_EN_DE = "(SELECT e0.*, lang FROM embeddings e0 JOIN documents ON doc_id = vec_id WHERE lang IN ('en', 'de'))"
 _HAS_CODE = "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
 _WORDS = r"list_distinct(regexp_extract_all(lower({}), '[A-Za-z_][A-Za-z_0-9]*'))"
 _IDS = r"list_distinct(regexp_extract_all({}, '[A-Za-z_][\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'))"
@@ -173,7 +174,7 @@ PLANS = {
     "storage_health": (storage_health, "SELECT (SELECT count(*) FROM documents) AS codes, (SELECT count(*) FROM embeddings) AS embeddings"),
     "filter_builder": (filter_builder, "SELECT doc_id AS code_id, lang, source AS split FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND doc_id <> 1 AND doc_id::VARCHAR LIKE '1%'"),
     "exact_top_k": (exact_top_k, f"WITH {_knn_sql('embeddings', TOP, more='e.vec_id <> query_id')} SELECT query_id, code_id, similarity, rank FROM near"),
-    "filtered_knn": (filtered_knn, f"WITH {_knn_sql('(SELECT e0.*, lang FROM embeddings e0 JOIN documents ON doc_id = vec_id WHERE lang IN (' + chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'de' + chr(39) + '))', 5, cols='lang,')} SELECT query_id, code_id, lang, similarity, rank FROM near"),
+    "filtered_knn": (filtered_knn, f"WITH {_knn_sql(_EN_DE, 5, cols='lang,')} SELECT query_id, code_id, lang, similarity, rank FROM near"),
     "knn_with_text": (knn_with_text, f"WITH {_knn_sql(_HAS_CODE, 5, 5)} SELECT query_id, rank, code_id, similarity, lang, text AS code FROM near JOIN documents ON doc_id = code_id"),
     "vector_literal_knn": (vector_literal_knn, "WITH q AS (SELECT [CASE WHEN i % 2 = 1 THEN 0.125 ELSE -0.125 END::DOUBLE for i in range(64)] AS v), r AS (SELECT vec_id AS code_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, code_id)::INT AS rank FROM r) WHERE rank <= 10"),
     "uniqueness_debug": (uniqueness_debug, f"""WITH {_knn_sql(_HAS_CODE, 20, more='e.vec_id <> query_id')},
