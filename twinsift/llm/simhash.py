@@ -6,8 +6,8 @@ words than a shingle hash the whole sequence, texts without words (null and empt
 Search: the bits are grouped into partitions, correlated bits together. Two fingerprints at most t bits apart are at most e_i
 apart in some partition i if the sum of (e_i + 1) is t + 1 (a partition with e_i = -1 isn't probed). The thresholds are chosen
 by dynamic programming over estimated costs: rows to shuffle for probing, and candidates to verify, from bit statistics of all
-fingerprints. Equal fingerprints are one node. Each node goes to the bucket of its own key and probes those of keys at most
-e_i away. In buckets, candidates are verified in numpy blocks and only linked to one another's least id, so that a bucket's
+fingerprints. Equal fingerprints are one node. Each node goes to the bucket of its own key and probes those of greater keys at
+most e_i away (lesser ones probe it). In buckets, candidates are verified in numpy blocks and only linked to one another's least id, so that a bucket's
 output is linear in its rows. A bucket with more than ``block`` nodes is split into a grid of blocks that cover all its pairs.
 
 With ``check_bits``, fingerprints carry a second word of 64 bits and a link must also keep both words' distance within that
@@ -33,7 +33,9 @@ from .common import broadcast_if_small, materialize, texts
 from .grouped import components, map_sorted_groups, runs
 
 #: Cost of a shuffled row and of a verified candidate, in microseconds as measured on one core.
-ROW_COST, PAIR_COST = 1.0, 0.002
+ROW_COST, PAIR_COST = 2.6, 0.002
+#: Keys have at least this many bits: narrower ones prune little and make large buckets.
+LEAST_BITS = 6
 BLOCK = 8192
 
 
@@ -142,17 +144,17 @@ def allocate(n: int, joint: np.ndarray, threshold: int, widest: int = 2) -> list
     """Partitions and thresholds of least estimated cost for a search at this threshold."""
     p = np.diag(joint) / max(n, 1)
     best: tuple[float, list[Part]] = (float("inf"), [])
-    for m in range(1, threshold + 2):
+    for m in range(1, min(threshold + 1, 64 // LEAST_BITS) + 1):
         groups = group_bits(n, joint, m)
         # state: sum of (radius + 1) so far -> (cost, radii)
         state = {0: (0.0, ())}
         for g in groups:
             near = near_probability(p[list(g)], widest)
             cost = [0.0]
-            rows = 0
+            rows = 0.0
             for r in range(min(widest, len(g)) + 1):
-                rows += _choose(len(g), r)
-                cost.append(ROW_COST * rows + PAIR_COST * n * near[r])
+                rows += _choose(len(g), r) / (2 if r else 1)  # of two different keys one probes the other
+                cost.append(ROW_COST * rows + PAIR_COST * n * (near[0] + near[r]) / 2)
             grown: dict[int, tuple[float, tuple]] = {}
             for total, (c, radii) in state.items():
                 for step, more in enumerate(cost):
@@ -182,7 +184,10 @@ def _signed(x: int) -> int:
 
 def find_links(nodes: DataFrame, parts: list[Part], threshold: int, check_bits: int | None, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect all nodes (node, fp, fp2) within the threshold; nodes must be materialized."""
-    probes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(p.mask)).alias("mask"), F.lit(_signed(f)).alias("flip")) for i, p in enumerate(parts) for f in p.flips()])
+    top = lambda f: 1 << f.bit_length() - 1 if f else 0
+    probes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(p.mask)).alias("mask"), F.lit(_signed(f)).alias("flip"), F.lit(_signed(top(f))).alias("top")) for i, p in enumerate(parts) for f in p.flips()])
+    # The greater of two keys has the highest changed bit set: the lesser one probes it.
+    probes = F.filter(probes, lambda p: F.col("fp").bitwiseAND(p["top"]) == 0)
     rows = nodes.select("node", "fp", "fp2", F.explode(probes).alias("p"))
     rows = rows.select("node", "fp", "fp2", F.xxhash64("p.i", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip"))).alias("key"), (F.col("p.flip") == 0).alias("own"))
     # Keys with many nodes are split into a grid: those that own the key by those that probe it.
