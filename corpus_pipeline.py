@@ -14,9 +14,9 @@ from twinsift.llm.common import bucket, discard, documents, materialize
 
 #: Documents below this probability of being good are rejected.
 MIN_QUALITY = 0.3
-#: Distinct five-word shingles. Texts with a Jaccard similarity of 0.8 differ in 15 % of SimHash bits on average, 19 of 128, with
-#: a deviation of 4; the bounds leave room for this: 24 of 128, and 13 of the 64 that are searched.
-SHINGLE, NEAR_BITS, CHECK_BITS = 5, 13, 24
+#: Near copies share 0.8 of their distinct five-word shingles (Jaccard). Such texts differ in 15 % of SimHash bits on average, 19
+#: of 128 with a deviation of 4. Candidates are at most 13 bits apart in either word of 64 and 32 of 128; shingles decide.
+SHINGLE, NEAR_BITS, CHECK_BITS, NEAR = 5, 13, 32, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group of near copies; documents without an id stay."""
-    found = simhash.near_duplicates(docs, SHINGLE, NEAR_BITS, CHECK_BITS, distinct=True)
+    found = simhash.near_copies(docs, SHINGLE, NEAR_BITS, CHECK_BITS, NEAR)
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -286,6 +286,27 @@ def test_search_loses_no_link(spark, threshold, check, block):
     assert {i: got.get(i, i) for i in range(len(pts))} == reachable(range(len(pts)), near)
 
 
+@pytest.mark.parametrize("block", [simhash.SET_BLOCK, 8])
+def test_near_copies_have_the_similarity(spark, block):
+    import corpus_pipeline as C
+
+    r, texts = random.Random(6), {}
+    for k in range(25):
+        words = prose(500 + k, 300).split()
+        for n in range(8):
+            texts[8 * k + n] = " ".join("new" + str(r.random()) if n and r.random() < 0.005 * n else w for w in words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = [(i, j) for i in sets for j in sets if i < j and i // 8 == j // 8 and jaccard(i, j) >= 0.8]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(d, C.SHINGLE, C.NEAR_BITS, C.CHECK_BITS, C.NEAR, block=block).collect()}
+    assert sum(got[i] == got[j] for i, j in near) >= 0.99 * len(near)
+    want = reachable(sorted(sets), lambda i, j: (i, j) in set(near) if i // 8 == j // 8 else False)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is linked below 0.8
+    after = {x.doc_id for x in C.drop_near_copies(spark, d, "").collect()}
+    assert all(any(jaccard(i, j) >= 0.8 for j in sets if j != i) for i in set(sets) - after)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 201)]
     got = {r.node: r.component for r in grouped.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -13,6 +13,10 @@ output is linear in its rows. A bucket with more than ``block`` nodes is split i
 With ``check_bits``, fingerprints carry a second word of 64 bits and a link must also keep both words' distance within that
 bound: this tells apart texts that a wide bound on 64 bits would link by chance.
 
+``near_copies`` takes links as candidates only. It searches both words, so that a pair is lost only if either word is over the
+bound, and gathers the shingle sets of each candidate component, in a grid of blocks if it is large. A link counts if the
+Jaccard similarity of the two sets reaches the bound.
+
 Components are least ids reachable by links. Rows with one id and text agree, ids may repeat, a null id takes part in no
 component but its own text's. Columns other than id and text aren't read. Empty tables give empty results.
 """
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, texts
+from .common import broadcast_if_small, discard, materialize, texts
 from .grouped import components, map_sorted_groups, runs
 
 #: Cost of a shuffled row and of a verified candidate, in microseconds as measured on one core.
@@ -37,6 +41,8 @@ ROW_COST, PAIR_COST = 2.6, 0.002
 #: Keys have at least this many bits: narrower ones prune little and make large buckets.
 LEAST_BITS = 6
 BLOCK = 8192
+#: Nodes of a block when shingle sets are compared.
+SET_BLOCK = 1024
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -64,21 +70,33 @@ def _second(hashes: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, fp and fp2: two words of 64 bits as long. distinct: a text's equal shingles count once."""
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """Signed hash of a shingle set."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, distinct: bool = False, text_col: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
+    """doc_id, fp and fp2: two words of 64 bits as long. distinct: a text's equal shingles count once. digest: also the set's hash."""
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = np.zeros((b.num_rows, 2), np.uint64)
+            sets = np.zeros(b.num_rows, np.int64)
             for k, t in enumerate(texts(b)):
-                h = shingle_hashes(t, width)
-                h = np.unique(h) if distinct else h
+                h = shingle_set(t, width) if distinct or digest else shingle_hashes(t, width)
                 if len(h):
                     both[k] = _majority(h), _majority(_second(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(both[:, k].view(np.int64)) for k in (0, 1))], ["doc_id", "fp", "fp2"])
+                    sets[k] = set_digest(h) if digest else 0
+            cols = [b.column(0), *(pa.array(both[:, k].view(np.int64)) for k in (0, 1)), *([pa.array(sets)] if digest else [])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "fp2", "digest"][: len(cols)])
 
-    return slim.mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return slim.mapInArrow(run, "doc_id long, fp long, fp2 long" + (", digest long" if digest else ""))
 
 
 # --- partitions and thresholds ---
@@ -253,3 +271,88 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, check_b
     found = components(find_links(known, parts, threshold, check_bits))
     named = nodes.join(found, "node", "left").select(*of, F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, of).select("doc_id", "fp", "fp2", "component_id")
+
+
+# --- exact similarity ---
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets (ascending) have at least this Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def verify_cell(node: np.ndarray, fp: np.ndarray, fp2: np.ndarray, role: np.ndarray, sets: list[np.ndarray], check_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a cell as link_cell has them, of pairs within check_bits whose sets are alike. Linked pairs aren't compared again."""
+    a, b = np.flatnonzero(role < 2), np.flatnonzero(role != 1)
+    ids, label = np.unique(node, return_inverse=True)
+    root = np.arange(len(ids))
+    for at in range(0, len(a), 256):
+        mine = a[at : at + 256]
+        apart = np.bitwise_count(fp[mine][:, None] ^ fp[b][None, :]).astype(np.int16) + np.bitwise_count(fp2[mine][:, None] ^ fp2[b][None, :])
+        match = apart <= check_bits
+        for k in np.flatnonzero(match.sum(1) > (role[mine] == 0)):
+            i, others = mine[k], b[match[k]]
+            for j in others[root[label[others]] != root[label[i]]].tolist():
+                u, v = root[label[i]], root[label[j]]
+                if u != v and alike(sets[i], sets[j], similarity):
+                    root[root == max(u, v)] = min(u, v)
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def verify_links(docs: DataFrame, nodes: DataFrame, loose: DataFrame, width: int, check_bits: int, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """Edges (u, v) that connect all alike nodes (node, fp, fp2, digest) of one loose component. docs: doc_id and text."""
+    sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n > {block}")
+    hot = broadcast_if_small(materialize(sizes.select("component", F.ceil(F.col("n") / block).cast("int").alias("nb"))))
+    placed = nodes.join(loose, "node").join(hot, "component", "left").select("component", F.coalesce("nb", F.lit(1)).alias("nb"), "node", "fp", "fp2", "digest")
+    placed = broadcast_if_small(materialize(placed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t, width) for t in texts(part)]
+                own = part.column(5).to_pylist()
+                kept = pa.array([k for k, (h, d) in enumerate(zip(sets, own)) if (set_digest(h) if len(h) else 0) == d], pa.int32())
+                held = pa.array([h.tobytes() for h in sets], pa.binary()).take(kept)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(kept) for k in range(5)), held], ["component", "nb", "node", "fp", "fp2", "shingles"])
+
+    rows = docs.join(placed, docs["doc_id"] == placed["node"]).select("component", "nb", "node", "fp", "fp2", "digest", "text")
+    rows = rows.mapInArrow(run, "component long, nb int, node long, fp long, fp2 long, shingles binary")
+    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    role = lambda j: F.when(j == mine, 0).when(j > mine, 1).otherwise(2).cast("byte")
+    cells = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(j, mine).alias("a"), F.greatest(j, mine).alias("b"), role(j).alias("role")))
+    spread = rows.withColumn("c", F.explode(cells)).select(F.xxhash64("component", "c.a", "c.b").alias("cell"), "c.role", "node", "fp", "fp2", "shingles")
+
+    def work(t: pa.Table) -> pa.Table | None:
+        at = runs(t["cell"].to_numpy())
+        role, node, held = t["role"].to_numpy(), t["node"].to_numpy(), t["shingles"]
+        fp, fp2 = (t[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+        us, vs = [], []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            sets = [np.frombuffer(x, np.uint64) for x in held.slice(s, e - s).to_pylist()]
+            u, v = verify_cell(node[s:e], fp[s:e], fp2[s:e], role[s:e], sets, check_bits, similarity)
+            us.append(u)
+            vs.append(v)
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)}) if us else None
+
+    return map_sorted_groups(spread, "cell", [], work, "u long, v long")
+
+
+def near_copies(docs: DataFrame, width: int, threshold: int, check_bits: int, similarity: float, text_col: str = "text", id_col: str = "doc_id", block: int = SET_BLOCK) -> DataFrame:
+    """doc_id and component_id, one row per document: linked are texts whose sets of shingles have this Jaccard similarity."""
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    fps = materialize(fingerprints(slim, width, distinct=True, digest=True))
+    of = ["fp", "fp2", "digest"]
+    nodes = materialize(fps.groupBy(*of).agg(F.min("doc_id").alias("node")))
+    known = nodes.where("node is not null").select("node", *of)
+    sides = [known.select("node", F.col(x).alias("fp"), F.col(y).alias("fp2")) for x, y in (("fp", "fp2"), ("fp2", "fp"))]
+    edges = [materialize(find_links(x, allocate(*bit_statistics(x), threshold), threshold, check_bits)) for x in sides]
+    loose = components(edges[0].unionByName(edges[1]))
+    found = components(verify_links(slim, known, loose, width, check_bits, similarity, block))
+    discard(*edges)
+    named = nodes.join(found, "node", "left").select(*of, F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, of).select("doc_id", "component_id")
