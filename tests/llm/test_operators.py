@@ -235,6 +235,43 @@ def test_planted_passages(spark):
                 assert texts[r.doc_id].split()[r.start : r.end] == texts[r.other_id].split()[r.other_start : r.other_end]
 
 
+def edited(words, kind, r):
+    """every n: each n-th word is another. edits: this share of words is another, left out or followed by a new one."""
+    new = lambda: "new" + str(r.random())
+    if kind[0] == "every":
+        first = r.randrange(kind[1])
+        return [new() if i % kind[1] == first else w for i, w in enumerate(words)]
+    out = []
+    for w in words:
+        out += r.choice([[new()], [], [w, new()]]) if r.random() < kind[1] else [w]
+    return out
+
+
+def fuzzy_recall(spark, kind, n=60, size=60):
+    """Share of n passages, each in two documents, that are found."""
+    r = random.Random(str(kind))
+    rows = []
+    for k in range(n):
+        words = prose(7000 + k, size).split()
+        for side, part in enumerate((words, edited(words, kind, r))):
+            rows.append((2 * k + side, " ".join([prose(9000 + 4 * k + side, 60), *part, prose(9002 + 4 * k + side, 60)]), "en", "a", 0))
+    found = substring.shared_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(x.identity >= 0.8 and x.doc_id // 2 == x.other_id // 2 for x in found)
+    return len({x.doc_id // 2 for x in found}) / n
+
+
+def test_words_in_order():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = (r.integers(0, 9, r.integers(1, 140)).astype(np.uint32) for _ in "xy")
+        assert substring.in_order(x, y) == substring.matched_words(x, y)
+
+
+@pytest.mark.parametrize("kind", [("every", 8), ("every", 6), ("edits", 0.1)])
+def test_fuzzy_passages_are_found(spark, kind):
+    assert fuzzy_recall(spark, kind) >= 0.95
+
+
 # --- SimHash ---
 
 
