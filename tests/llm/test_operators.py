@@ -71,6 +71,19 @@ def test_secrets_linking(text, kinds):
     assert [s[0] for s in secrets.credential_spans(text)] == kinds
 
 
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("jdbc:mysql://db.example.com/app?user=bob&password=hunter2", {"endpoint": "mysql://db.example.com/app", "identifier": "user=bob", "secret": "password=hunter2"}),
+        ("https://db.example.com/?password=hunter2&user=bob", {"endpoint": "https://db.example.com/", "identifier": "user=bob", "secret": "password=hunter2"}),
+        ("https://db.example.com/?user=bob&password=abcdefghijkl0", {"endpoint": "https://db.example.com/", "identifier": "user=bob", "assign": "password=abcdefghijkl0"}),
+        ("user=bob pwd=hun&ter2 https://db.example.com/x", {"identifier": "user=bob", "secret": "pwd=hun&ter2", "endpoint": "https://db.example.com/x"}),
+    ],
+)
+def test_secrets_inside_addresses(text, parts):
+    assert {k: text[s:e] for k, s, e, _ in secrets.credential_spans(text)} == parts
+
+
 # --- quality, language ---
 
 

@@ -9,6 +9,9 @@ code points apart. A weak part is reported only if its complements link to it.
 * A weak identifier needs a base secret, or any secret together with an endpoint.
 * An endpoint needs both an identifier and a secret.
 
+Parts may lie inside one another, as in the query of an address: base spans come first, then identifiers, secrets and endpoints.
+A secret or an endpoint that runs into another part ends before it.
+
 The join runs inside each document on sorted positions with binary search, so it takes n log n steps for n parts and no
 shuffle: a document is one row. Null and empty texts have no span. Repeated rows are scanned alike; other columns than the
 text pass by untouched.
@@ -39,8 +42,8 @@ IDENTIFIER = re.compile(
     re.A,
 )
 SECRET = re.compile(
-    r"""(?i:pwd|pass(?:word|wd|phrase)?|secret(?:_?key)?|token|api_?key|auth|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=!@#$%^&*-]{4,}"""
-    r"""|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])""",
+    r"""(?i:pwd|pass(?:word|wd|phrase)?|secret(?:_?key)?|token|api_?key|auth|private_?key)["']?\x20*[:=]\x20*["']?(?:[A-Za-z0-9+/_.=!@#$%^*-]|&(?![A-Za-z0-9_.-]+=)){4,}"""
+    r"""|(?P<bare>)(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])""",
     re.A,
 )
 ENDPOINT = re.compile(
@@ -90,10 +93,10 @@ def credential_spans(text: str, reach: int = 200) -> list[tuple[str, int, int, b
     identifiers = _outside(IDENTIFIER, text, taken)
     keys = [(s, e) for k, s, e in base if k == "access"]
     if identifiers or keys:
-        secrets = _outside(SECRET, text, _disjoint(taken + identifiers))
+        secrets = _trimmed(SECRET, text, _disjoint(taken + identifiers))
         strong = [(s, e) for k, s, e in base if k != "access"]
         if secrets or strong:
-            endpoints = _outside(ENDPOINT, text, _disjoint(taken + identifiers + secrets))
+            endpoints = _trimmed(ENDPOINT, text, _disjoint(taken + identifiers + secrets))
             cuts = [m.start() for m in BLANK.finditer(text)]
             part = lambda x: _Parts(x, cuts, reach)
             key, who = part(keys), part(keys + identifiers)
@@ -126,6 +129,27 @@ def _outside(pattern: re.Pattern, text: str, taken: list[tuple[int, int]]) -> li
     return out
 
 
+def _trimmed(pattern: re.Pattern, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Matches, those that run into one of the given disjoint spans up to it, and addresses then up to their query. What is
+    left must be a match itself. Bare tokens aren't cut."""
+    starts = [s for s, _ in taken]
+    out = []
+    for m in pattern.finditer(text):
+        start, end = m.span()
+        k = bisect_right(starts, start)
+        if k and taken[k - 1][1] > start:
+            continue
+        if k < len(taken) and starts[k] < end:
+            if m.groupdict().get("bare") is not None:
+                continue
+            left = text[start : starts[k]]
+            left = (left.split("?")[0] if "://" in left else left).rstrip("&;")
+            if not (m := pattern.match(text, start, start + len(left))):
+                continue
+        out.append(m.span())
+    return out
+
+
 def scan_secrets(docs: DataFrame, reach: int = 200, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: its id and ``spans``, an array of (kind, start, end, base) in code points, end exclusive."""
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
