@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinsift.operators import knn, metrics, migration, pairs, stoplist, uniqueness
 from twinsift.operators.embedder import HashingEmbedder
+from twinsift.plans import registry
 from twinsift.sources import sinks, tables
 from twinsift.streaming.ingest import ingest
 
@@ -42,6 +43,15 @@ def test_approximate_search_finds_most(spark):
         assert metrics.recall_at_k(exact, found).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("name", ["ivf_top_k", "lsh_top_k"])
+def test_registered_indexes_find_most(spark, name):
+    d = "/root/testdata/sf0.1"
+    e = tables.embeddings(spark, d)
+    found = registry.queries()[name](spark, d)
+    q = e.select(F.col("code_id").alias("query_id"), "vector").join(found.select("query_id").distinct(), "query_id")
+    assert metrics.recall_at_k(knn.top_k(q, e, 10), found).agg(F.avg("recall")).first()[0] >= 0.9
+
+
 def test_filters(spark):
     _, corpus = vectors(spark, 5)
     assert corpus.where(knn.where_all()).count() == 8 and corpus.where(knn.where_all(not_id=1, id_prefix="1")).count() == 0

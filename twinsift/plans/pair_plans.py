@@ -130,7 +130,7 @@ def ann_benchmark(spark, d):
     exact = knn.top_k(q, e, 10, exclude_self=True)
     indexed, centers = knn.ivf_index(e.select("code_id", "vector"))
     order = Window.partitionBy("query_id").orderBy("rank")
-    approx = knn.ivf_top_k(q, indexed, centers, 11, 16).where("query_id <> code_id").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
+    approx = knn.ivf_top_k(q, indexed, centers, 11).where("query_id <> code_id").withColumn("rank", F.row_number().over(order)).where("rank <= 10")
     both = metrics.recall_at_k(exact, approx).join(metrics.kendall_tau(exact, approx), "query_id", "left")
     return both.agg(F.lit("ivf").alias("engine"), F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall_mean"), F.percentile("recall", 0.5).alias("recall_p50"), F.avg("tau").alias("tau_mean"))
 
