@@ -239,8 +239,8 @@ def test_planted_passages(spark):
     texts[17] = " ".join([*texts[17].split(), *passage])
     texts[21] = texts[20]
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA)
-    for hot_rows in (substring.HOT_ROWS, 1):
-        found = substring.shared_passages(d, hot_rows=hot_rows).collect()
+    for tasks in (None, 150):
+        found = substring.shared_passages(d, tasks=tasks).collect()
         assert {i for r in found for i in (r.doc_id, r.other_id)} == {3, 9, 17, 20, 21}
         for r in found:
             assert r.identity >= 0.8 and min(r.end - r.start, r.other_end - r.other_start) >= 45
@@ -276,8 +276,85 @@ def fuzzy_recall(spark, kind, n=60, size=60):
 def test_words_in_order():
     r = np.random.default_rng(3)
     for _ in range(50):
-        x, y = (r.integers(0, 9, r.integers(1, 140)).astype(np.uint32) for _ in "xy")
-        assert substring.in_order(x, y) == substring.matched_words(x, y)
+        x, y = (r.integers(0, 9, r.integers(1, 140)).astype(np.int32) for _ in "xy")
+        row = [0] * (len(y) + 1)
+        for v in x.tolist():
+            old, row = row, row[:]
+            for j, u in enumerate(y.tolist(), 1):
+                row[j] = max(old[j], row[j - 1], old[j - 1] + (u == v))
+        assert substring.matched_words(x, y) == row[-1]
+
+
+def test_extensions_are_best():
+    """All pairs at once give what a plain table of scores gives for each, within the band."""
+    r = np.random.default_rng(5)
+    for band in (4, 12):
+        xs = [r.integers(0, 3, r.integers(0, 30)).astype(np.int32) for _ in range(60)]
+        ys = [np.concatenate((x[: len(x) // 2], r.integers(0, 3, r.integers(0, 6)), x[len(x) // 2 :])).astype(np.int32) if k % 3 else r.integers(0, 3, 20).astype(np.int32) for k, x in enumerate(xs)]
+        for x, y, got in zip(xs, ys, substring.extend(xs, ys, 48, band)):
+            best = {(0, 0): 0}
+            for i in range(len(x) + 1):
+                for j in range(max(0, i - band), min(len(y), i + band) + 1):
+                    steps = [(i - 1, j, -2), (i, j - 1, -2), (i - 1, j - 1, 1 if i and j and x[i - 1] == y[j - 1] else -2)]
+                    known = [best[p, q] + v for p, q, v in steps if (p, q) in best]
+                    if known:
+                        best[i, j] = max(known)
+            i, j, equal = got.tolist()
+            assert best[i, j] == max(best.values()) and equal >= best[i, j]
+
+
+def fragments(holders, size=20):
+    """Texts 0 and 1000 share 80 words; texts in between hold a piece of these each, and another 60 words are in two of them."""
+    r = random.Random(holders)
+    shared = prose(31, 80).split()
+    texts = {0: [*prose(32, 70).split(), *shared, *prose(33, 70).split()], 1000: [*prose(34, 50).split(), *shared, *prose(35, 90).split()]}
+    for k in range(holders):
+        at = r.randrange(80 - size + 1)
+        texts[1 + k] = [*prose(100 + k, 40).split(), *shared[at : at + size], *prose(400 + k, 40).split()]
+    return texts
+
+
+@pytest.mark.parametrize("holders", [10, 40, 200])
+def test_fragments_in_between_hide_no_passage(spark, holders):
+    texts = fragments(holders)
+    d = spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in texts.items()], SCHEMA)
+    found = substring.shared_passages(d).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(1000, 0)}
+    assert max(r.n_equal for r in found) >= 80
+
+
+def test_shared_runs_against_all_pairs(spark):
+    """200 texts of random pieces of ten passages: texts that share 50 words running are connected, and no others are paired."""
+    r = random.Random(12)
+    pool = [prose(600 + k, 120).split() for k in range(10)]
+    texts = {}
+    for i in range(200):
+        parts = [prose(5000 + 2 * i, 40).split()]
+        for p in r.sample(pool, r.randint(0, 2)):
+            at, n = r.randrange(60), r.choice([12, 20, 30, 50, 60])
+            parts += [p[at : at + n], prose(5001 + 2 * i + at, 20).split()]
+        texts[i] = [w for p in parts for w in p]
+    runs_of = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    long, least = ({i: runs_of(w, n) for i, w in texts.items()} for n in (50, 12))
+    found = substring.shared_passages(spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in texts.items()], SCHEMA)).collect()
+    pairs = {frozenset((x.doc_id, x.other_id)) for x in found}
+    got = reachable(range(200), lambda i, j: frozenset((i, j)) in pairs)
+    want = reachable(range(200), lambda i, j: not long[i].isdisjoint(long[j]))
+    assert all(got[i] == got[c] for i, c in want.items())
+    assert {i for i in want if sum(c == want[i] for c in want.values()) > 1} <= {i for p in pairs for i in p}
+    assert all(not least[i].isdisjoint(least[j]) for i, j in map(sorted, pairs))
+
+
+def test_occurrences_all_count(spark):
+    """A passage twice in one text and once in another; one that only one text repeats; a word said over and over."""
+    one, two = prose(41, 60), prose(42, 60)
+    texts = [" ".join([prose(43, 30), one, prose(44, 30), one, prose(45, 30)]), " ".join([prose(46, 80), one]), " ".join([two, prose(47, 30), two]), "the " * 400, "the " * 300, prose(48, 200)]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = substring.shared_passages(d).collect()
+    assert len({r.other_start for r in found if (r.doc_id, r.other_id) == (1, 0)}) == 2
+    assert (2, 2) in {(r.doc_id, r.other_id) for r in found} and (4, 3) in {(r.doc_id, r.other_id) for r in found}
+    assert all(5 not in (r.doc_id, r.other_id) for r in found)
+    assert all(r.doc_id != r.other_id for r in substring.shared_passages(d, within=False).collect())
 
 
 @pytest.mark.parametrize("kind", [("every", 8), ("every", 6), ("edits", 0.1)])
@@ -285,6 +362,10 @@ def test_fuzzy_passages_are_found(spark, kind):
     assert fuzzy_recall(spark, kind) >= 0.95
 
 
+def test_fuzzy_passages_at_the_bound(spark):
+    assert fuzzy_recall(spark, ("every", 5)) >= 0.9 and fuzzy_recall(spark, ("edits", 0.15)) >= 0.9
+
+
 # --- SimHash ---
 
 
