@@ -13,8 +13,9 @@ Parts may lie inside one another, as in the query of an address: base spans come
 A secret or an endpoint that runs into another part ends before it.
 
 The join runs inside each document on sorted positions with binary search, so it takes n log n steps for n parts and no
-shuffle: a document is one row. Null and empty texts have no span. Repeated rows are scanned alike; other columns than the
-text pass by untouched.
+shuffle: a document is one row, and a long text is scanned whole. Null and empty texts have no span, an empty table gives an
+empty result. Repeated rows are scanned alike. Of spans at one start, kinds are listed in the order of KINDS. Columns other than
+id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,22 +68,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Parts:
-    """Disjoint spans by position; asks whether one links to a given span."""
+    """Spans by position; asks whether one links to a given span. Spans that overlap hold no blank line and count as one."""
 
     def __init__(self, spans: list[tuple[int, int]], cuts: list[int], reach: int):
-        self.spans = sorted(set(spans))
+        self.spans = _disjoint(spans)
         self.starts = [s for s, _ in self.spans]
         self.ends = [e for _, e in self.spans]
         self.cuts, self.reach = cuts, reach
 
     def linked(self, start: int, end: int) -> bool:
-        """Whether a span of these, other than itself, lies within reach and scope."""
+        """Whether a span of these lies within reach and scope. The span itself is none of these."""
         k = bisect_left(self.starts, start)
         # The scope lies between the nearest blank lines; only the nearest spans on either side can be the closest.
         c, d = bisect_right(self.cuts, start), bisect_left(self.cuts, end)
         above, below = self.cuts[c - 1] if c else -1, self.cuts[d] if d < len(self.cuts) else 1 << 60
-        near = [i for i in (k - 2, k - 1, k, k + 1) if 0 <= i < len(self.spans) and self.spans[i] != (start, end)]
-        return any(above < self.starts[i] < below and self.ends[i] >= start - self.reach and self.starts[i] <= end + self.reach for i in near)
+        return any(above < self.starts[i] < below and self.ends[i] >= start - self.reach and self.starts[i] <= end + self.reach for i in (k - 1, k) if 0 <= i < len(self.spans))
 
 
 def credential_spans(text: str, reach: int = 200) -> list[tuple[str, int, int, bool]]:
