@@ -6,7 +6,8 @@ stream with one ``fixed_shape_tensor`` of (frames, mels) a row and its span in s
 
 Text stands in for recordings here: its UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, are the samples. Null and
 empty texts are 64 samples of 0, and equal texts give equal bytes, since each row is computed alone by the same steps. Long
-sounds are framed in blocks, so that memory stays near the size of the sound itself.
+sounds are framed in blocks, so that memory stays near the size of the sound itself. An empty table gives an empty result.
+Columns other than id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

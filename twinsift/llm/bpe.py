@@ -10,7 +10,7 @@ left side's and its last unit is the right side's. This is done at two levels.
   neighbours are; at an agreed token the neighbours come from an encoding on either side.
 
 Null and empty texts have no token. The tokenizer file is a parameter, and its special tokens are found in text as the library
-finds them. Rows are encoded independently; other columns are not read.
+finds them. Rows are encoded independently, repeated ones alike; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,9 +122,6 @@ class Codec:
             encoded = [self.split(p) for p in parts]
         return tree(encoded, lambda units: self.split("".join(units)))
 
-    def spelled(self, raw: bytes) -> str:
-        return raw.decode("latin-1").translate(self.letter_of)
-
     def _merge(self, piece: bytes) -> list[int]:
         """Token ids of one unsplit piece."""
         return list(map(self.id_of.__getitem__, self.core._encode_single_piece(piece)))

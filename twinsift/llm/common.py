@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,29 +26,63 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='twinsift-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Tables made inside each open scratch(), the innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, unless kept."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        discard(*made)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Hands a materialized table on from the innermost scratch() to the one around it, if any."""
+    _SCOPES[-1][:] = [t for t in _SCOPES[-1] if t is not table]
+    if len(_SCOPES) > 1:
+        _SCOPES[-2].append(table)
+    return table
+
+
+def _path(table: DataFrame):
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table.table_path)
+    return path, path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors. Results that are
+    read lazily need their tables until then: what isn't discarded before goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/twinsift-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.table_path = path
+    at, files = _path(table)
+    files.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append(table)
     return table
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that nothing still to be run reads."""
     for t in tables:
-        session = t.sparkSession
-        path = session._jvm.org.apache.hadoop.fs.Path(t.table_path)
-        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        at, files = _path(t)
+        files.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

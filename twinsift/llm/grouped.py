@@ -52,20 +52,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node and component (the least id reachable) of every id in edges (u, v); ids without an edge aren't returned.
 
     Alternates the large-star and small-star steps until the edges are stars around each component's least id. Each round is
-    cut off by a table in the shared folder. Neighbours are reduced by aggregation and joins alone, so that a hub's edges are
-    never gathered in one place.
+    cut off by a table in the shared folder. Neighbours are reduced by aggregation, from partial results, and the least ones are a
+    table of their own before they are joined: this join shuffles both sides, so that Spark can split a hub's edges.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = first = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, now = now, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        discard(old, large)
+        discard(old, large, first, least)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, materialize
+from .common import broadcast_if_small, keep, let, materialize, scratch
 
 GAP = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
@@ -77,6 +77,8 @@ def judge_documents(docs: DataFrame, host_limit: float = 0.5, text_col: str = "t
     """doc_id, source, the measures, base_failed, host_kept and kept, one row per document."""
     measured = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("source"), measures(docs[text_col]).alias("m")).select("doc_id", "source", "m.w.*", "m.l.*", "m.n_symbols")
     measured = materialize(measured.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
-    hosts = broadcast_if_small(materialize(host_verdicts(measured, host_limit).select(F.col("source").alias("of"), "rate", "host_kept")))
+    with scratch():
+        hosts = keep(materialize(host_verdicts(measured, host_limit).select(F.col("source").alias("of"), "rate", "host_kept")))
+    hosts = broadcast_if_small(hosts)
     joined = measured.join(hosts, measured["source"].eqNullSafe(hosts["of"]), "inner").drop("of")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))

@@ -18,7 +18,8 @@ bound, and gathers the shingle sets of each candidate component, in a grid of bl
 Jaccard similarity of the two sets reaches the bound.
 
 Components are least ids reachable by links. Rows with one id and text agree, ids may repeat, a null id takes part in no
-component but its own text's. Columns other than id and text aren't read. Empty tables give empty results.
+component but its own text's. Long texts are hashed whole, in blocks. Columns other than id and text aren't read. Empty tables
+give empty results. Exact copies share a fingerprint, a hot key of the last join, which shuffles both sides: Spark splits it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, materialize, texts
+from .common import broadcast_if_small, keep, materialize, scratch, texts
 from .grouped import components, map_sorted_groups, runs
 
 #: Cost of a shuffled row and of a verified candidate, in microseconds as measured on one core.
@@ -267,8 +268,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, check_b
     nodes = fps.groupBy(*of).agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes if check_bits is not None else nodes.withColumn("fp2", F.lit(0).cast("long")))
     known = nodes.where("node is not null").select("node", "fp", "fp2")
-    parts = allocate(*bit_statistics(known), threshold)
-    found = components(find_links(known, parts, threshold, check_bits))
+    with scratch():
+        found = keep(materialize(components(find_links(known, allocate(*bit_statistics(known), threshold), threshold, check_bits))))
     named = nodes.join(found, "node", "left").select(*of, F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, of).select("doc_id", "fp", "fp2", "component_id")
 
@@ -350,9 +351,9 @@ def near_copies(docs: DataFrame, width: int, threshold: int, check_bits: int, si
     nodes = materialize(fps.groupBy(*of).agg(F.min("doc_id").alias("node")))
     known = nodes.where("node is not null").select("node", *of)
     sides = [known.select("node", F.col(x).alias("fp"), F.col(y).alias("fp2")) for x, y in (("fp", "fp2"), ("fp2", "fp"))]
-    edges = [materialize(find_links(x, allocate(*bit_statistics(x), threshold), threshold, check_bits)) for x in sides]
-    loose = components(edges[0].unionByName(edges[1]))
-    found = components(verify_links(slim, known, loose, width, check_bits, similarity, block))
-    discard(*edges)
+    with scratch():
+        edges = [materialize(find_links(x, allocate(*bit_statistics(x), threshold), threshold, check_bits)) for x in sides]
+        loose = materialize(components(edges[0].unionByName(edges[1])))
+        found = keep(materialize(components(verify_links(slim, known, loose, width, check_bits, similarity, block))))
     named = nodes.join(found, "node", "left").select(*of, F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, of).select("doc_id", "component_id")
