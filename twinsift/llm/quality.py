@@ -3,12 +3,15 @@
 Three views of a text's words give n-grams: the words themselves (1 and 2), their shapes (1 to 3: how they begin, whether all
 letters are upper case, their last three signs) and how they repeat the words just before (1, 2 and 4). An n-gram counts once
 per text. Indicators are scaled by the log of the ratio of the two classes' smoothed counts, over all training rows; then a
-linear hinge-loss model is fitted by dual coordinate descent on at most ``max_fit_rows`` training rows (chosen by hash of the
-id; a documented bound). One in ten of these is held back to turn margins into probabilities.
+linear hinge-loss model is fitted by dual coordinate descent on at most ``max_fit_rows`` training rows with ``max_fit_entries``
+n-grams in all (taken in order of a hash of the id; documented bounds). One in ten of these is held back to turn margins into
+probabilities.
 
 Only the text is read for a score. Null and empty texts have no n-gram and get the score of the intercept. If only one class
-is known, scores are that class's share; without any training row they are 0.5. Repeated rows count as often as they come.
-Long texts are hashed in slices of about 4 MB that end between words.
+is known, scores are that class's share; without any training row they are 0.5. Repeated rows count as often as they come, and an
+empty table gives an empty result. Rows tied in the order by hash have one id and label; those with fewer n-grams come first. Long
+texts are hashed in slices that end between words; each begins with the words before it, so that the n-grams are those of the
+whole text. Columns other than id, text and label aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, texts
+from .common import broadcast_if_small, materialize, scratch, texts
 
 BITS = 18
 SIZE = 1 << BITS
 SLICE = 1 << 22
-MAX_FIT_ROWS = 10_000
+MAX_FIT_ROWS, MAX_FIT_ENTRIES = 10_000, 20_000_000
+#: Words of a text that an n-gram may depend on: four in a row, each compared with four before it.
+CONTEXT = 8
 
 _TABLE = np.random.default_rng(20260101).integers(0, 1 << 63, 16 * 256, dtype=np.uint64) | np.uint64(1)
 _BYTE = np.arange(256)
@@ -98,8 +103,9 @@ def blocks(docs: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def ngrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (part, n-gram) pairs as two arrays, sorted by part. n-grams are hashes below SIZE."""
+def ngrams(parts: list[bytes], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (part, n-gram) pairs as two arrays, sorted by part. n-grams are hashes below SIZE. The first ``skip`` words are context:
+    no n-gram ends there."""
     data = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
     ends_of = np.cumsum([len(p) + 1 for p in parts])
     gap = _SPACE[data]
@@ -138,11 +144,13 @@ def ngrams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         p = part
         if keep is not None:
             g, p = g[keep], p[keep]
+        elif skip:
+            g, p = g[skip:], p[skip:]
         found.append(g.astype(np.int64))
         found_part.append(p)
 
     for view, x, wide in ((1, word, 2), (2, shape, 3), (3, repeat, 4)):
-        grams, kept = x, np.ones(len(x), bool)
+        grams, kept = x, np.arange(len(x)) >= skip
         add(view * 10 + 1, grams)
         for k in range(1, wide):
             old, same = ago(x, k)
@@ -157,8 +165,11 @@ def indicators(docs: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks of documents as (first document, document of each n-gram, n-gram)."""
     for first, held in blocks(docs):
         if len(held) == 1 and len(held[0]) > SLICE:
-            seen = np.unique(np.concatenate([ngrams([s])[1] for s in slices(held[0])]))
-            yield first, np.zeros(len(seen), np.int64), seen
+            seen, before = np.zeros(SIZE, bool), []
+            for s in slices(held[0]):
+                seen[ngrams([b" ".join([*before, s])], len(before))[1]] = True
+                before = b" ".join([*before, s]).rsplit(None, CONTEXT)[-CONTEXT:]
+            yield first, np.zeros(int(seen.sum()), np.int64), np.flatnonzero(seen)
         else:
             yield (first, *ngrams(held))
 
@@ -244,7 +255,7 @@ def calibrate(margin: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[
     return float(t[0]), float(t[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, max_fit_entries: int = MAX_FIT_ENTRIES) -> Model:
     """docs: doc_id and text. labels: doc_id and label (0 or 1), the training rows only."""
     labels = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     labelled = docs.select("doc_id", "text").join(broadcast_if_small(labels, 1_000_000), "doc_id")
@@ -262,10 +273,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) ->
                 cuts = np.searchsorted(doc, np.arange(doc[-1] + 2)) if len(doc) else []
                 for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
                     grams[first + k] = gram[s:e].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), b.column(2)], ["doc_id", "grams", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in grams], pa.binary()), b.column(2), pa.array([len(g) for g in grams], pa.int64())], ["doc_id", "grams", "label", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, f"doc_id {kind}, grams binary, label int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    with scratch():
+        table = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, f"doc_id {kind}, grams binary, label int, n long").withColumn("key", F.xxhash64("doc_id", "label", F.lit(3))))
+        # The sample's size in bytes is bounded before it comes to the driver: rows by key until the n-grams are enough.
+        sizes = table.select("key", "n").orderBy("key", "n").limit(max_fit_rows).toArrow()
+        enough = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), max_fit_entries, side="right"))
+        last = sizes["key"][min(max(enough, 1), sizes.num_rows) - 1].as_py() if sizes.num_rows else 0
+        sample = table.where(F.col("key") <= last).orderBy("key", "n").limit(max(enough, 1)).select("doc_id", "grams", "label").toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     rows = [np.frombuffer(g, np.int32) for g in sample["grams"].to_pylist()]
     label = sample["label"].to_numpy()
     y = np.where(label > 0, 1.0, -1.0)

@@ -35,7 +35,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(bucket(F.col("doc_id"), 5) != 0)
     scored = quality.score_documents(docs, quality.fit(docs, labels))
-    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = bucket(F.col("doc_id"), 4) == 2
     model = language.fit(docs.where(~held).select("doc_id", "text", "lang"))
-    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
