@@ -173,3 +173,65 @@ def test_stream_adds_each_key_once(spark, tmp_path):
         stream = spark.readStream.schema("id long, x string").parquet(src)
         ingest(stream, out, ["id"], str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_queries_of_any_number_and_length(spark, monkeypatch):
+    x, corpus = vectors(spark)
+    q = corpus.where("code_id < 41 or code_id = 42").withColumnRenamed("code_id", "query_id")
+    want = sorted(map(tuple, knn.top_k(q, corpus, 3).collect()))
+    assert {r[0] for r in want} == {*range(41), 42}  # the one of length 1 finds itself
+    monkeypatch.setattr(knn, "QUERY_BYTES", 8 * 8 * 9)
+    assert sorted(map(tuple, knn.top_k(q, corpus, 3).collect())) == want
+
+
+def test_negatives_of_one_large_group(spark):
+    rows = spark.createDataFrame([(i, "big" if i >= 50 else f"s{i % 5}") for i in range(5000)], "uid long, group string")
+    got = pairs.group_pairs(rows, 20, 0.8).collect()
+    assert sum(r.label for r in got) == 120 and sum(not r.label for r in got) == 96
+
+
+def test_index_is_stored(spark, tmp_path):
+    _, corpus = vectors(spark, 100, 8)
+    corpus = corpus.where(F.size("vector") == 8)
+    q = corpus.where("code_id < 10").withColumnRenamed("code_id", "query_id")
+    indexed, centers = knn.ivf_index(corpus, 4)
+    knn.write_index(indexed, centers, str(tmp_path / "index"))
+    again = knn.read_index(spark, str(tmp_path / "index"))
+    assert sorted(map(str, knn.ivf_top_k(q, *again, 5, 2).collect())) == sorted(map(str, knn.ivf_top_k(q, indexed, centers, 5, 2).collect()))
+
+
+def test_layouts(spark, tmp_path):
+    import pyarrow as pa
+
+    for lang, split in (("go", "train"), ("go", ""), ("java", "valid")):
+        spark.createDataFrame([(f"{lang} {split}",)], "code string").coalesce(1).write.parquet(str(tmp_path / "corpus" / lang / split / "x.parquet") if split else str(tmp_path / "flat"))
+    (tmp_path / "corpus" / "go" / "one.parquet").write_bytes(next((tmp_path / "flat").glob("*.parquet")).read_bytes())
+    for lang, split in (("go", "train"), ("java", "valid")):
+        folder = tmp_path / "corpus" / lang / split
+        next((folder / "x.parquet").glob("*.parquet")).rename(folder / "two.parquet")
+        for f in (folder / "x.parquet").iterdir():
+            f.unlink()
+        (folder / "x.parquet").rmdir()
+    got = {(r.lang, r.split, r.code) for r in tables.read_layout(spark, str(tmp_path / "corpus")).collect()}
+    assert got == {("go", "train", "go train"), ("go", "", "go "), ("java", "valid", "java valid")}
+    assert {r.lang for r in tables.read_layout(spark, str(tmp_path / "corpus"), ["java"]).collect()} == {"java"}
+    t = pa.table({"id": [1, 2], "code": ["a", None]})
+    for kind, opened in (("s", pa.ipc.new_stream), ("f", pa.ipc.new_file)):
+        with opened(str(tmp_path / f"{kind}.arrow"), t.schema) as w:
+            w.write_table(t)
+    assert sorted(r.id for r in tables.read_arrow(spark, str(tmp_path), "id long, code string").collect()) == [1, 1, 2, 2]
+
+
+def test_admin_statements(spark):
+    from twinsift import schemas
+
+    spark.createDataFrame([(1, "x")], "a int, b string").createOrReplaceTempView("admin_view")
+    assert [(r.col_name, r.data_type) for r in schemas.describe(spark, "admin_view").collect()] == [("a", "int"), ("b", "string")]
+    assert schemas.column_type(spark, "admin_view", "b") == "string" and schemas.column_type(spark, "admin_view", "c") is None
+    assert "Physical Plan" in schemas.explain(spark, "select a from admin_view")
+
+
+def test_identifiers_without_java_keywords(spark):
+    from twinsift.functions.text import identifier_set_java
+
+    assert spark.createDataFrame([("class Foo return bar def x",)], "c string").select(identifier_set_java(F.col("c"))).first()[0] == ["Foo", "bar", "def"]

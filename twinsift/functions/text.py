@@ -128,6 +128,11 @@ def identifier_set(code: Column, lang: Column) -> Column:
     return F.when(lang == "java", less(JAVA_KEYWORDS)).when(lang == "python", less(PYTHON_KEYWORDS)).otherwise(found)
 
 
+def identifier_set_java(code: Column) -> Column:
+    """The variant that knows Java only: its keywords go whatever the language is."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?U)[A-Za-z_]\w+"), F.lit(0))), F.array(*map(F.lit, JAVA_KEYWORDS)))
+
+
 def shingles(toks: Column, n: int) -> Column:
     """Runs of n tokens joined by U+0001; none if there are fewer tokens. ``toks`` should be a plain column."""
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))

@@ -30,7 +30,8 @@ def cosine_or_zero(a: Column, b: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + F.lit(EPSILON)))
+    # The norm is a lambda's variable, so that it is computed once and not for each element.
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / (n + F.lit(EPSILON)))), 1)
 
 
 def has_dim(a: Column, dim: int) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 2048
+#: Bytes of query vectors that the driver gathers and each task holds at a time.
+QUERY_BYTES = 1 << 26
 DIGITS = 6
 #: Lists probed of 32, and bits and tables of projections: recall of 0.9 at least on the whole of sf0.1.
 N_PROBE, LSH_BITS, LSH_TABLES = 22, 4, 20
@@ -44,19 +46,30 @@ def _unit(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """query_id, code_id, similarity (rounded), rank and the columns to keep, k rows a query, ties by code_id.
 
-    queries: query_id and vector. corpus: code_id, vector and the columns to keep. Vectors of another length than the first
-    query's are left out, as are null ones.
+    queries: query_id and vector. corpus: code_id, vector and the columns to keep. A query is compared with the vectors of its own
+    length; null and empty ones are left out. Any number of queries is worked through in parts of QUERY_BYTES at most, by hash of the id.
     """
     spark = corpus.sparkSession
-    rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").limit(100 * QUERY_BLOCK + 1).toArrow().combine_chunks()
-    if rows.num_rows > 100 * QUERY_BLOCK:
-        raise ValueError(f"more than {100 * QUERY_BLOCK} queries: run them in parts")
+    asked = queries.where(F.size("vector") > 0).select("query_id", "vector")
+    sizes = asked.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # a row for each length
+    found = None
+    for dim, n in sizes or [(0, 0)]:
+        parts = -(-n * dim * 8 // QUERY_BYTES) or 1
+        for part in range(parts):
+            mine = asked.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
+            near = _top_k_part(spark, mine, queries, corpus, dim, k, exclude_self, keep)
+            found = near if found is None else found.unionByName(near)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame, dim: int, k: int, exclude_self: bool, keep: tuple[str, ...]) -> DataFrame:
+    """The k best of each task's rows for queries of one length that fit the driver and the tasks."""
+    held = asked.orderBy("query_id").toArrow().combine_chunks()
     kinds = ", ".join(f"{c} {corpus.schema[c].dataType.simpleString()}" for c in ("code_id", *keep))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, similarity double"
-    if not rows.num_rows:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    dim = len(rows["vector"][0].as_py())
-    held = rows.filter(pa.compute.equal(pa.compute.list_value_length(rows["vector"]), dim)).combine_chunks()
+    if not held.num_rows:
+        return spark.createDataFrame([], schema)
     ids, matrix = held["query_id"], _unit(held["vector"], dim)
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     names = ["query_id", "code_id", *keep, "similarity"]
@@ -81,9 +94,30 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fa
                 c = pa.array(best.ravel()[good])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[good])), b.column(0).take(c), *(b.column(2 + i).take(c) for i in range(len(keep))), pa.array(value[good])], names)
 
-    slim = corpus.where(F.size("vector") == dim).select("code_id", "vector", *keep)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
-    return slim.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return corpus.where(F.size("vector") == dim).select("code_id", "vector", *keep).mapInArrow(run, schema)
+
+
+def all_scores(queries: DataFrame, corpus: DataFrame, digits: int = 4) -> DataFrame:
+    """Cosine of every query with every row: code_id, query_id and score; 0 if either vector has no length. For a stated query set that
+    fits QUERY_BYTES; each task multiplies it with its own rows in blocks."""
+    held = queries.where(F.size("vector") > 0).select("query_id", "vector").orderBy("query_id").limit(QUERY_BYTES // 8).toArrow().combine_chunks()
+    dim = len(held["vector"][0].as_py()) if held.num_rows else 1
+    ids, matrix = held["query_id"], _unit(held["vector"], dim) if held.num_rows else np.zeros((0, dim))
+    if matrix.nbytes > QUERY_BYTES:
+        raise ValueError(f"{matrix.nbytes} bytes of queries: ask for fewer at a time")
+    names = ["code_id", "query_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                rows = b.slice(at, 256)
+                for q in range(0, len(matrix), QUERY_BLOCK):
+                    sim = np.round(_unit(rows.column(1), dim) @ matrix[q : q + QUERY_BLOCK].T, digits) + 0.0
+                    code, query = (pa.array(x.ravel()) for x in np.indices(sim.shape))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(code), pa.array(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).slice(q, sim.shape[1]).take(query), pa.array(sim.ravel())], names)
+
+    kinds = f"code_id {corpus.schema['code_id'].dataType.simpleString()}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double"
+    return corpus.where(F.size("vector") == dim).select("code_id", "vector").mapInArrow(run, kinds)
 
 
 def top_k_with_code(queries: DataFrame, corpus: DataFrame, codes: DataFrame, k: int) -> DataFrame:
@@ -130,6 +164,19 @@ def ivf_top_k(queries: DataFrame, indexed: DataFrame, centers: np.ndarray, k: in
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def write_index(indexed: DataFrame, centers: np.ndarray, path: str) -> None:
+    """Stores an index: its rows in a folder for each list, and the centroids. Searches read only the lists they probe."""
+    spark = indexed.sparkSession
+    indexed.repartition("list").write.partitionBy("list").parquet(f"{path}/rows")
+    spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "list int, center array<double>").write.parquet(f"{path}/centers")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, np.ndarray]:
+    """A stored index as ivf_top_k takes it."""
+    centers = spark.read.parquet(f"{path}/centers").orderBy("list").collect()  # a row for each list
+    return spark.read.parquet(f"{path}/rows"), np.array([r["center"] for r in centers])
+
+
 def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int, bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = 42, dim: int = 64) -> DataFrame:
     """Candidates share the signs of ``bits`` random projections in one of several tables."""
     from twinsift.functions.vectors import cosine

@@ -32,11 +32,11 @@ def best_f1(scored: DataFrame) -> DataFrame:
     return best.select(F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"), (F.col("b.tp") / F.nullif(F.col("b.tp") + F.col("b.fp"), F.lit(0))).alias("precision"), (F.col("b.tp") / F.nullif(F.col("b.p"), F.lit(0))).alias("recall"))
 
 
-def confusion(scored: DataFrame, threshold: float) -> DataFrame:
-    """tp, fp, tn, fn, precision, recall and f1; an empty denominator gives 0."""
+def confusion(scored: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """tp, fp, tn, fn, precision, recall and f1, of all rows or of each group; an empty denominator gives 0."""
     hit = F.col("score") >= F.lit(threshold)
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    c = scored.agg(n(hit & (F.col("label") == 1)).alias("tp"), n(hit & (F.col("label") == 0)).alias("fp"), n(~hit & (F.col("label") == 0)).alias("tn"), n(~hit & (F.col("label") == 1)).alias("fn"))
+    c = scored.groupBy(*by).agg(n(hit & (F.col("label") == 1)).alias("tp"), n(hit & (F.col("label") == 0)).alias("fp"), n(~hit & (F.col("label") == 0)).alias("tn"), n(~hit & (F.col("label") == 1)).alias("fn"))
     share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     c = c.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
     return c.withColumn("f1", share(F.lit(2.0) * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))

@@ -74,7 +74,8 @@ def group_pairs(rows: DataFrame, per_group: int, negative_ratio: float, seed: in
     """a_uid, b_uid and label: up to per_group random pairs in each group, and negatives across groups.
 
     A group's rows are put in random order; the d-th ring pairs each with the one d further on. Rings are used until there are
-    enough pairs, so that no group's pairs are ever listed in full. Negatives pair a random row with one of another group.
+    enough pairs, so that no group's pairs are ever listed in full. Negatives pair a random row with one of another group; all ranks
+    count if one group holds nearly all rows.
     """
     g = rows.where(F.col("group").isNotNull() & (F.col("group").cast("string") != ""))
     own, all_of = Window.partitionBy("group").orderBy(draw(seed, F.col("uid")), "uid"), Window.partitionBy("group")
@@ -87,9 +88,13 @@ def group_pairs(rows: DataFrame, per_group: int, negative_ratio: float, seed: in
     right = placed.select("group", F.col("uid").alias("o_uid"), F.col("i").alias("j"))
     pos = left.withColumn("j", F.pmod(F.col("i") + F.col("d"), F.col("k"))).join(right, ["group", "j"]).select(F.least("uid", "o_uid").alias("a_uid"), F.greatest("uid", "o_uid").alias("b_uid"), F.lit(1).alias("label"))
     n = int(pos.count() * max(0.0, negative_ratio))
-    # Of two random orders, the first 4 n ranks hold n pairs of different groups with room to spare; nothing beyond is ranked.
-    head = lambda s: g.select("uid", "group", draw(s, F.col("uid")).alias("o")).orderBy("o", "uid").limit(4 * n + 100)
-    one = lambda s, u, gr: head(s).select(F.col("uid").alias(u), F.col("group").alias(gr), F.row_number().over(Window.orderBy("o", "uid")).alias("r"))
-    neg = one(seed + 1, "a_uid", "ga").join(one(seed + 2, "b_uid", "gb"), "r").where("ga <> gb")
+    # Two random orders pair rows by rank. As many ranks are looked at as n pairs of different groups need, up to all of them.
+    head = lambda s, m: g.select("uid", "group", draw(s, F.col("uid")).alias("o")).orderBy("o", "uid").limit(m)
+    one = lambda s, m, u, gr: head(s, m).select(F.col("uid").alias(u), F.col("group").alias(gr), F.row_number().over(Window.orderBy("o", "uid")).alias("r"))
+    unlike = lambda m: one(seed + 1, m, "a_uid", "ga").join(one(seed + 2, m, "b_uid", "gb"), "r").where("ga <> gb")
+    total, m = g.count(), 4 * n + 100
+    while m < total and unlike(m).count() < n:
+        m *= 8
+    neg = unlike(min(m, max(total, 1)))
     neg = neg.withColumn("p", F.row_number().over(Window.orderBy("r"))).where(F.col("p") <= n).select("a_uid", "b_uid", F.lit(0).alias("label"))
     return pos.unionByName(neg)

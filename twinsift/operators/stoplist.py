@@ -25,7 +25,7 @@ def document_frequency(codes: DataFrame, n: int) -> DataFrame:
 def stoplist(codes: DataFrame, n: int, share: float, min_df: int = 2, top: int | None = None) -> DataFrame:
     """lang, shingle and df of shingles in at least max(min_df, int(documents with shingles * share)) documents."""
     sets = shingle_sets(codes, n)
-    docs = sets.groupBy("lang").agg(F.count_distinct("code_id").alias("docs"))
+    docs = codes.where(F.size(tokens(F.col("code"))) >= n).groupBy("lang").agg(F.count_distinct("code_id").alias("docs"))
     kept = sets.groupBy("lang", "shingle").agg(F.count(F.lit(1)).alias("df")).join(docs, "lang")
     kept = kept.where(F.col("df") >= F.greatest(F.lit(min_df), F.floor(F.col("docs") * F.lit(share)))).drop("docs")
     if top is None:

@@ -23,8 +23,8 @@ def import_with_literals(spark, d):
 
 
 def multi_source_append(spark, d):
-    parts = [codes(spark, d).where(F.col("lang") == x).select("code_id", "lang") for x in ("en", "de", "fr")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [codes(spark, d).where(F.col("lang") == x).select("code_id", "lang") for x in ("en", "de", "fr", "es")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def latest_version_merge(spark, d):
@@ -35,8 +35,8 @@ def latest_version_merge(spark, d):
 
 def upsert_ignore(spark, d):
     c = codes(spark, d).select("code_id", "lang")
-    rows = c.where("code_id >= 50 and code_id < 150").withColumn("lang", F.lit("new"))
-    return sinks.upsert_ignore(c.where("code_id < 100"), rows.unionByName(rows), ["code_id"])
+    rows = c.withColumn("lang", F.lit("new"))
+    return sinks.upsert_ignore(c.where("lang <> 'es'"), rows.unionByName(rows), ["code_id"])
 
 
 def delete_by_predicate(spark, d):
@@ -112,7 +112,7 @@ def inline_values_join(spark, d):
 
 
 def set_operations(spark, d):
-    w = read(spark, d, "documents").where("doc_id < 200").select("doc_id", F.array_distinct(F.split("text", " ")).alias("a"), F.array_distinct(F.split(F.lower("text"), " ")).alias("b"))
+    w = read(spark, d, "documents").select("doc_id", F.array_distinct(F.split("text", " ")).alias("a"), F.array_distinct(F.split(F.lower("text"), " ")).alias("b"))
     return w.select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_union("a", "b")).alias("any"), F.size(F.array_except("a", "b")).alias("only_a"))
 
 
@@ -162,9 +162,9 @@ _NEW = "upper(substr(sha256(lang || '|' || {}), 1, 26))"
 
 PLANS = {
     "import_with_literals": (import_with_literals, "SELECT 'java' AS lang, 'train' AS split, doc_id::VARCHAR AS uid, coalesce(text, '') AS code FROM documents"),
-    "multi_source_append": (multi_source_append, "SELECT doc_id AS code_id, lang FROM documents WHERE lang IN ('en', 'de', 'fr')"),
+    "multi_source_append": (multi_source_append, "SELECT doc_id AS code_id, lang FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')"),
     "latest_version_merge": (latest_version_merge, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1"),
-    "upsert_ignore": (upsert_ignore, "SELECT doc_id AS code_id, CASE WHEN doc_id < 100 THEN lang ELSE 'new' END AS lang FROM documents WHERE doc_id < 150"),
+    "upsert_ignore": (upsert_ignore, "SELECT doc_id AS code_id, CASE WHEN lang <> 'es' THEN lang ELSE 'new' END AS lang FROM documents"),
     "delete_by_predicate": (delete_by_predicate, "SELECT doc_id AS code_id, lang, source AS split FROM documents WHERE NOT coalesce(source = 'src1' AND lang IN ('en', 'de'), false)"),
     "dedupe_first_wins": (dedupe_first_wins, "SELECT lang, md5(text) AS h, min(doc_id) AS code_id FROM documents GROUP BY 1, 2"),
     "insert_select": (insert_select, "SELECT vec_id AS code_id, label FROM embeddings WHERE label < 3"),
@@ -177,7 +177,7 @@ PLANS = {
     "id_map_join": (id_map_join, f"SELECT lang, doc_id::VARCHAR AS old_code_id, {_NEW.format('doc_id')} AS code_id FROM documents"),
     "not_exists_migration": (not_exists_migration, f"WITH {_PROFILED} SELECT {_NEW.format('code_id')} AS code_id, lang, model, created_at FROM profiled WHERE code_id % 2 <> 0"),
     "inline_values_join": (inline_values_join, "SELECT lang, weight, count(*) AS n FROM documents JOIN (VALUES ('en', 1), ('de', 2), ('fr', 3)) t(lang, weight) USING (lang) GROUP BY ALL"),
-    "set_operations": (set_operations, "SELECT doc_id, len(list_intersect(a, b))::INT AS both, len(list_distinct(list_concat(a, b)))::INT AS any, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_a FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS a, list_distinct(string_split(lower(text), ' ')) AS b FROM documents WHERE doc_id < 200)".replace("AS any", 'AS "any"')),
+    "set_operations": (set_operations, "SELECT doc_id, len(list_intersect(a, b))::INT AS both, len(list_distinct(list_concat(a, b)))::INT AS any, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_a FROM (SELECT doc_id, list_distinct(string_split(text, ' ')) AS a, list_distinct(string_split(lower(text), ' ')) AS b FROM documents)".replace("AS any", 'AS "any"')),
     "prefix_limit": (prefix_limit, "SELECT doc_id AS code_id, lang FROM documents ORDER BY doc_id LIMIT 25"),
     "zstd_round_trip": (zstd_round_trip, "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang"),
     "capped_shards": (capped_shards, "SELECT doc_id AS code_id, lang FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 100"),

@@ -30,7 +30,7 @@ def random_negatives(spark, d):
 
 def band_join_hard_negatives(spark, d):
     rows = _rows(spark, d)
-    return pairs.band_pairs(rows.where(F.col("uid") % 4 == 0), rows, WIDTH)
+    return pairs.band_pairs(rows, rows, WIDTH)
 
 
 def hard_negatives_quota(spark, d):
@@ -42,7 +42,7 @@ def hard_negatives_quota(spark, d):
 
 def anti_duplicate_pairs(spark, d):
     rows = _rows(spark, d)
-    found = pairs.band_pairs(rows.where("uid < 200"), rows, 5).select("a_uid", "b_uid")
+    found = pairs.band_pairs(rows, rows, 5).select("a_uid", "b_uid")
     both = found.unionByName(found.select(F.col("b_uid").alias("a_uid"), F.col("a_uid").alias("b_uid")))
     known = found.where("(a_uid + b_uid) % 2 = 0").select(F.col("b_uid").alias("a_uid"), F.col("a_uid").alias("b_uid"))
     return pairs.without_known(both, known)
@@ -69,14 +69,14 @@ def group_pair_sampling(spark, d):
     return pairs.group_pairs(rows, 40, 1.0)
 
 
-def _scored(spark, d, n=60):
-    """Pairs of the first vectors: label 1 if their groups agree; scored by cosine."""
-    e = embeddings(spark, d).where(F.col("code_id") < n)
-    a = e.select(F.col("code_id").alias("a_id"), F.col("vector").alias("a"), F.col("label").alias("la"))
-    b = e.select(F.col("code_id").alias("b_id"), F.col("vector").alias("b"), F.col("label").alias("lb"))
-    ids = spark.range(n).select(F.col("id").alias("a_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b_id")).where("a_id < b_id")
-    j = ids.join(a, "a_id").join(b, "b_id")
-    return j.select("a_id", "b_id", (F.col("la") == F.col("lb")).cast("int").alias("label"), F.round(vectors.cosine_or_zero(F.col("a"), F.col("b")), 4).alias("score"))
+def _scored(spark, d):
+    """Pairs of every vector whose id is divisible by 20 with all others: label 1 if their groups agree; scored by cosine."""
+    e = embeddings(spark, d)
+    stated = e.where("code_id % 20 = 0").select(F.col("code_id").alias("query_id"), "vector")
+    j = knn.all_scores(stated, e).select(F.col("query_id").alias("a_id"), F.col("code_id").alias("b_id"), "score")
+    j = j.where("a_id <> b_id and (b_id % 20 <> 0 or a_id < b_id)")
+    group = lambda x: e.select(F.col("code_id").alias(f"{x}_id"), F.col("label").alias(f"l{x}"))
+    return j.join(group("a"), "a_id").join(group("b"), "b_id").select("a_id", "b_id", (F.col("la") == F.col("lb")).cast("int").alias("label"), "score")
 
 
 def vector_join_scores(spark, d):
@@ -107,10 +107,10 @@ def confusion_at_threshold(spark, d):
     return _round(metrics.confusion(_scored(spark, d), 0.1), "precision", "recall", "f1")
 
 
-def _exact_and_cut(spark, d, k=10, n=50):
+def _exact_and_cut(spark, d, k=10):
     """Exact neighbours, and those by the first half of each vector."""
     e = embeddings(spark, d)
-    q = e.where(F.col("code_id") < n).select(F.col("code_id").alias("query_id"), "vector")
+    q = e.where("code_id % 20 = 0").select(F.col("code_id").alias("query_id"), "vector")
     cut = lambda x: x.withColumn("vector", F.slice("vector", 1, 32))
     return knn.top_k(q, e, k, exclude_self=True), knn.top_k(cut(q), cut(e), k, exclude_self=True)
 
@@ -183,8 +183,8 @@ def masked_overlap(spark, d):
 def masked_evaluation(spark, d):
     """Confusion of raw and masked scores, and the false positives that masking saves."""
     j = masked_overlap(spark, d)
-    one = lambda c: metrics.confusion(j.select(F.col(c).alias("score"), "label"), 0.05).withColumn("kind", F.lit(c))
-    both = one("raw").unionByName(one("masked"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("score")) for c in ("raw", "masked")])).alias("s")
+    both = metrics.confusion(j.select("label", kinds).select("label", "s.*"), 0.05, "kind")
     return _round(both.withColumn("fp_saved", F.max("fp").over(Window.partitionBy(F.lit(1))) - F.col("fp")), "precision", "recall", "f1")
 
 
@@ -205,7 +205,7 @@ def _band(anchors, width=WIDTH):
     return f"SELECT a.lang, a.uid AS a_uid, b.uid AS b_uid FROM {anchors} a JOIN rows_ b ON a.lang = b.lang AND b.uid > a.uid AND abs(a.size - b.size) <= {width} AND a.md5 <> b.md5"
 
 
-_SCORED = "scored AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.label = b.label)::INT AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0::DOUBLE AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id < 60)"
+_SCORED = "scored AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.label = b.label)::INT AS label, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0::DOUBLE AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 20 <> 0 OR a.vec_id < b.vec_id))"
 _CURVE = f"""{_SCORED},
 per AS (SELECT score, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM scored GROUP BY score),
 curve AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM per)"""
@@ -221,7 +221,7 @@ FROM (SELECT count(*) FILTER (WHERE {score} >= {threshold} AND label = 1) AS tp,
 
 def _near(name, vec):
     sim = f"round(list_cosine_similarity({vec.format('q')}, {vec.format('e')}), 6)"
-    return f"{name} AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS code_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id < 50 AND q.vec_id <> e.vec_id) WHERE rank <= 10)"
+    return f"{name} AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS code_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {sim} DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 10)"
 
 
 _BOTH = _near("exact", "{}.embedding::DOUBLE[]") + ", " + _near("cut", "({}.embedding::DOUBLE[])[1:32]")
@@ -255,10 +255,10 @@ masked AS (SELECT a_id, b_id, label, round(coalesce(len(list_intersect(x.s, y.s)
 PLANS = {
     "norm_md5_pairs": (norm_md5_pairs, f"WITH {_MD5} SELECT * FROM md5_pairs"),
     "random_negatives": (random_negatives, f"WITH {_NEG} SELECT * FROM random_pairs"),
-    "band_join_hard_negatives": (band_join_hard_negatives, f"WITH {_ROWS} {_band('(SELECT * FROM rows_ WHERE uid % 4 = 0)')}"),
+    "band_join_hard_negatives": (band_join_hard_negatives, f"WITH {_ROWS} {_band('rows_')}"),
     "hard_negatives_quota": (hard_negatives_quota, f"""WITH {_ROWS}, anchors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || uid), uid) AS k FROM rows_) WHERE k <= 50), band AS ({_band('anchors')})
 SELECT lang, a_uid, b_uid FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || a_uid || ':' || b_uid), a_uid, b_uid) AS k FROM band) WHERE k <= ceil(300.0 / (SELECT count(DISTINCT lang) FROM band))"""),
-    "anti_duplicate_pairs": (anti_duplicate_pairs, f"WITH {_ROWS}, band AS ({_band('(SELECT * FROM rows_ WHERE uid < 200)', 5)}) SELECT a_uid, b_uid FROM band WHERE (a_uid + b_uid) % 2 <> 0"),
+    "anti_duplicate_pairs": (anti_duplicate_pairs, f"WITH {_ROWS}, band AS ({_band('rows_', 5)}) SELECT a_uid, b_uid FROM band WHERE (a_uid + b_uid) % 2 <> 0"),
     "synth_positive_pairs": (synth_positive_pairs, "SELECT lang, doc_id || '__aug' AS a_uid, doc_id::VARCHAR AS b_uid FROM documents WHERE doc_id::VARCHAR LIKE '%7'"),
     "augment_identifiers": (augment_identifiers, None),
     "seeded_sample": (seeded_sample, "SELECT doc_id AS code_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100"),

@@ -8,20 +8,17 @@ from twinsift.functions import text as X
 from twinsift.operators import knn, uniqueness
 from twinsift.sources.tables import codes, embeddings, vector_literal
 
-N_QUERIES, TOP = 20, 10
+TOP = 10
+#: Searches ask for every id divisible by this, against all rows.
+EVERY = 20
 
 
-def _queries(spark, d, n=N_QUERIES):
-    return embeddings(spark, d).where(F.col("code_id") < n).select(F.col("code_id").alias("query_id"), "vector")
+def _queries(spark, d):
+    return embeddings(spark, d).where(F.col("code_id") % EVERY == 0).select(F.col("code_id").alias("query_id"), "vector")
 
 
-def _stated_queries(spark, d):
-    """Every id divisible by 20, for searches that no SQL holds to fewer."""
-    return embeddings(spark, d).where(F.col("code_id") % 20 == 0).select(F.col("code_id").alias("query_id"), "vector")
-
-
-def _query_texts(spark, d, n=N_QUERIES):
-    return codes(spark, d).where(F.col("code_id") < n).select(F.col("code_id").alias("query_id"), "code", "lang")
+def _query_texts(spark, d):
+    return codes(spark, d).where(F.col("code_id") % EVERY == 0).select(F.col("code_id").alias("query_id"), "code", "lang")
 
 
 def enabled_languages(spark, d):
@@ -82,7 +79,7 @@ def filtered_knn(spark, d):
 
 
 def knn_with_text(spark, d):
-    near = knn.top_k_with_code(_queries(spark, d, 5), embeddings(spark, d), codes(spark, d), 5)
+    near = knn.top_k_with_code(_queries(spark, d), embeddings(spark, d), codes(spark, d), 5)
     return near.select("query_id", "rank", "code_id", "similarity", "lang", "code")
 
 
@@ -110,7 +107,7 @@ def uniqueness_fallback_tier(spark, d):
     """Strict filters first (label and language), then label, then none."""
     meta = embeddings(spark, d).join(codes(spark, d).select("code_id", "lang"), "code_id")
     strict = knn.where_all(langs=["xx"]) & (F.col("label") == 1)
-    tiers = [knn.top_k(_queries(spark, d, 8), part, 3, exclude_self=True) for part in (meta.where(strict), meta.where(F.col("label") == 1), meta)]
+    tiers = [knn.top_k(_queries(spark, d), part, 3, exclude_self=True) for part in (meta.where(strict), meta.where(F.col("label") == 1), meta)]
     return uniqueness.fallback(tiers).select("query_id", "tier", "code_id", "similarity", "rank")
 
 
@@ -135,11 +132,11 @@ def rerank_headroom(spark, d):
 
 def ivf_top_k(spark, d):
     indexed, centers = knn.ivf_index(embeddings(spark, d).select("code_id", "vector"))
-    return knn.ivf_top_k(_stated_queries(spark, d), indexed, centers, TOP).select("query_id", "code_id", "similarity", "rank")
+    return knn.ivf_top_k(_queries(spark, d), indexed, centers, TOP).select("query_id", "code_id", "similarity", "rank")
 
 
 def lsh_top_k(spark, d):
-    return knn.lsh_top_k(_stated_queries(spark, d), embeddings(spark, d), TOP).select("query_id", "code_id", "similarity", "rank")
+    return knn.lsh_top_k(_queries(spark, d), embeddings(spark, d), TOP).select("query_id", "code_id", "similarity", "rank")
 
 
 def embed_codes(spark, d):
@@ -151,8 +148,8 @@ def embed_codes(spark, d):
 SIM = "round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6)"
 
 
-def _knn_sql(corpus: str, k: int, n: int = N_QUERIES, more: str = "true", cols: str = "") -> str:
-    return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {n}),
+def _knn_sql(corpus: str, k: int, more: str = "true", cols: str = "") -> str:
+    return f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % {EVERY} = 0),
 near AS (SELECT * FROM (SELECT query_id, e.vec_id AS code_id, {cols} {SIM} AS similarity,
   row_number() OVER (PARTITION BY query_id ORDER BY {SIM} DESC, e.vec_id)::INT AS rank FROM q, {corpus} e WHERE {more}) WHERE rank <= {k})"""
 
@@ -180,7 +177,7 @@ PLANS = {
     "filter_builder": (filter_builder, "SELECT doc_id AS code_id, lang, source AS split FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src1', 'src2') AND doc_id <> 1 AND doc_id::VARCHAR LIKE '1%'"),
     "exact_top_k": (exact_top_k, f"WITH {_knn_sql('embeddings', TOP, more='e.vec_id <> query_id')} SELECT query_id, code_id, similarity, rank FROM near"),
     "filtered_knn": (filtered_knn, f"WITH {_knn_sql(_EN_DE, 5, cols='lang,')} SELECT query_id, code_id, lang, similarity, rank FROM near"),
-    "knn_with_text": (knn_with_text, f"WITH {_knn_sql(_HAS_CODE, 5, 5)} SELECT query_id, rank, code_id, similarity, lang, text AS code FROM near JOIN documents ON doc_id = code_id"),
+    "knn_with_text": (knn_with_text, f"WITH {_knn_sql(_HAS_CODE, 5)} SELECT query_id, rank, code_id, similarity, lang, text AS code FROM near JOIN documents ON doc_id = code_id"),
     "vector_literal_knn": (vector_literal_knn, "WITH q AS (SELECT [CASE WHEN i % 2 = 1 THEN 0.125 ELSE -0.125 END::DOUBLE for i in range(64)] AS v), r AS (SELECT vec_id AS code_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, code_id)::INT AS rank FROM r) WHERE rank <= 10"),
     "uniqueness_debug": (uniqueness_debug, f"""WITH {_knn_sql(_HAS_CODE, 20, more='e.vec_id <> query_id')},
 j AS (SELECT n.query_id, code_id, similarity, rank, {_WORDS.format('q2.text')} AS a, {_WORDS.format('c.text')} AS b, length(q2.text) AS la, length(c.text) AS lb
@@ -196,8 +193,8 @@ f AS (SELECT *, round(cs * (0.5::DOUBLE + 0.5::DOUBLE * jac) * pen * CASE WHEN c
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS k FROM f)
 SELECT d.doc_id AS query_id, CASE WHEN score > 0 THEN code_id END AS closest_id, greatest(coalesce(score, 0), 0)::DOUBLE AS similarity,
   CASE WHEN score > 0 THEN (1.0::DOUBLE - score) * 100.0::DOUBLE ELSE 100.0::DOUBLE END AS uniqueness_percent
-FROM documents d LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON d.doc_id = b.query_id WHERE d.doc_id < {N_QUERIES}"""),
-    "uniqueness_fallback_tier": (uniqueness_fallback_tier, f"WITH {_knn_sql('(SELECT e0.* FROM embeddings e0 JOIN documents ON doc_id = vec_id WHERE label = 1)', 3, 8, 'e.vec_id <> query_id')} SELECT query_id, 2 AS tier, code_id, similarity, rank FROM near"),
+FROM documents d LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON d.doc_id = b.query_id WHERE d.doc_id % {EVERY} = 0"""),
+    "uniqueness_fallback_tier": (uniqueness_fallback_tier, f"WITH {_knn_sql('(SELECT e0.* FROM embeddings e0 JOIN documents ON doc_id = vec_id WHERE label = 1)', 3, 'e.vec_id <> query_id')} SELECT query_id, 2 AS tier, code_id, similarity, rank FROM near"),
     "progressive_search": (progressive_search, f"""WITH {_knn_sql(_HAS_CODE, 120)},
 head AS (SELECT * FROM near WHERE query_id % 2 = 0 OR query_id <> code_id), fast AS (SELECT * FROM head WHERE rank <= 30),
 done AS (SELECT query_id FROM fast GROUP BY query_id HAVING max(similarity) >= 0.985), deep AS (SELECT * FROM head WHERE query_id NOT IN (SELECT query_id FROM done)),

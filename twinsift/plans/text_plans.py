@@ -107,7 +107,7 @@ def coerce_labels(spark, d):
 
 def group_row_lists(spark, d):
     docs = S.read(spark, d, "documents").where(F.col("source").isNotNull() & (F.col("source") != ""))
-    return docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).select("source", F.size("ids").alias("n"), F.array_join(F.slice("ids", 1, 50).cast("array<string>"), ",").alias("first_ids"))
+    return docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).select("source", F.size("ids").alias("n"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("all_ids"))
 
 
 _TOKEN_SQL = r"regexp_extract_all(code, '[A-Za-z_][A-Za-z_0-9]*|==|!=|<=|>=|&&|\|\||[{}();,\[\].:+\-*/]')"
@@ -137,5 +137,5 @@ PLANS = {
     "id_plumbing": (id_plumbing, "SELECT doc_id, lang || '/' || doc_id AS base, doc_id || '_aug' AS rest, starts_with(lang || '/' || doc_id || '_aug', 'en/1') AS prefixed FROM documents"),
     "regex_group_key": (regex_group_key, r"SELECT doc_id, regexp_extract('data/' || lang || '/' || source || '/part-' || doc_id || '.parquet', '^(?:data/[a-z]+/(src\d+)/.*)', 1) AS group FROM documents".replace(" AS group", ' AS "group"')),
     "coerce_labels": (coerce_labels, "SELECT doc_id, coalesce(try_cast(raw AS INT), -1) AS label, coalesce(raw, '') AS text_label FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'bad' END AS raw FROM documents)"),
-    "group_row_lists": (group_row_lists, "SELECT source, len(ids)::INT AS n, array_to_string(ids[1:50], ',') AS first_ids FROM (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source)"),
+    "group_row_lists": (group_row_lists, "SELECT source, len(ids)::INT AS n, array_to_string(ids, ',') AS all_ids FROM (SELECT source, list(doc_id ORDER BY doc_id) AS ids FROM documents WHERE source IS NOT NULL AND source <> '' GROUP BY source)"),
 }

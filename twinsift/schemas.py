@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (columns, partition columns). Unsigned integers are one size wider; fixed strings are strings or binary.
 TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -48,3 +48,18 @@ def register(spark: SparkSession, sf_dir: str) -> None:
 
     codes(spark, sf_dir).createOrReplaceTempView("code_all")
     spark.sql(NORMALIZE_CODE_LIGHT)
+
+
+def describe(spark: SparkSession, table: str) -> DataFrame:
+    """col_name, data_type and comment of a table's columns."""
+    return spark.sql(f"DESCRIBE TABLE {table}")
+
+
+def column_type(spark: SparkSession, table: str, column: str) -> str | None:
+    """The type of a column, or None if there is no such column."""
+    return next((c.dataType for c in spark.catalog.listColumns(table) if c.name == column), None)
+
+
+def explain(spark: SparkSession, statement: str) -> str:
+    """The plan of a statement."""
+    return spark.sql(f"EXPLAIN FORMATTED {statement}").first()[0]

@@ -68,6 +68,35 @@ def read_shards(spark: SparkSession, path: str, max_rows: int | None = None, cod
     return tagged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_rows).drop("_file", "_at", "_n")
 
 
+def read_layout(spark: SparkSession, path: str, langs: list[str] | None = None) -> DataFrame:
+    """Rows of shards under <lang>/<split>/ or right under <lang>/ (split is empty there), with lang and split from the path. Without
+    langs, every language there is; else only their folders are read."""
+    roots = [f"{path}/{x}" for x in langs] if langs else [path]
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*roots)
+    steps = F.split("_metadata.file_path", "/")
+    base = len(path.rstrip("/").split("/")) - 1  # the last folder's place, from the name of the first root on
+    below = F.slice(steps, F.array_position(steps, path.rstrip("/").split("/")[base]) + 1, F.size(steps))
+    kept = [c for c in rows.columns if c not in ("lang", "split")]
+    return rows.select(*kept, F.element_at(below, 1).alias("lang"), F.when(F.size(below) > 2, F.element_at(below, 2)).otherwise("").alias("split"))
+
+
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a dataset saved as Arrow files (*.arrow, stream or file format), with the columns of schema."""
+    import pyarrow as pa
+
+    names = T._parse_datatype_string(schema).names
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                raw = pa.BufferReader(content.as_buffer())
+                reader = pa.ipc.open_file(raw) if content.as_buffer()[:6].to_pybytes() == b"ARROW1" else pa.ipc.open_stream(raw)
+                yield from reader.read_all().select(names).to_batches(max_chunksize=10_000)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.arrow").load(path)
+    return files.select("content").mapInArrow(rows, schema)
+
+
 def read_source_tree(spark: SparkSession, path: str, extensions: list[str]) -> DataFrame:
     """path and code of the files with these extensions; undecodable bytes become U+FFFD, empty files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
