@@ -565,6 +565,27 @@ def test_near_copies_have_the_similarity(spark, block):
     assert all(any(jaccard(i, j) >= 0.8 for j in sets if j != i) for i in set(sets) - after)
 
 
+def test_near_copies_of_the_corpus(spark):
+    """Of all pairs of texts with a similarity of 0.8, found by their shared shingles, nine in ten end in one group."""
+    import corpus_pipeline as C
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: frozenset(simhash.shingle_set(r.text or "", 5).tolist()) for r in d.collect()}
+    holders, shared = defaultdict(list), Counter()
+    for i, held in sets.items():
+        for h in held:
+            holders[h].append(i)
+    for ids in holders.values():
+        shared.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    near = [(a, b) for (a, b), n in shared.items() if sets[a] != sets[b] and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(d, C.SHINGLE, C.NEAR_BITS, C.CHECK_BITS, C.NEAR).collect()}
+    assert near and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    same = defaultdict(set)
+    for i, held in sets.items():
+        same[held].add(got[i])
+    assert all(len(c) == 1 for c in same.values())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 201)]
     got = {r.node: r.component for r in grouped.components(spark.createDataFrame(edges, "u long, v long")).collect()}
