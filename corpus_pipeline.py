@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of ``documents``.
+
+Every stage works on whole texts of any length, and an empty table gives an empty result. Null texts count as empty ones; extra
+columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,32 +23,34 @@ SHINGLE, NEAR_BITS, CHECK_BITS, NEAR = 5, 13, 32, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects. Repeated rows get one verdict; a document without text gets the
+    intercept's score; one without an id is scored, but trains nothing."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     model = quality.fit(docs.select("doc_id", "text"), labels.where(bucket(F.col("doc_id"), 5) != 0))
     return quality.keep_documents(docs, model, MIN_QUALITY)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that many sources share; n_chars follows the text."""
+    """Removes lines that many sources share; n_chars follows the text. The least id that holds a line keeps it, in all rows of that
+    id; null texts stay null with n_chars 0; rows without an id keep their lines."""
     cleaned = line_dedup.remove_boilerplate(docs, counts=False)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies; documents without an id stay."""
+    """Keeps the document with the least id of each group of near copies, in all rows of that id; documents without an id stay."""
     found = simhash.near_copies(docs, SHINGLE, NEAR_BITS, CHECK_BITS, NEAR)
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources reach their target weights."""
+    """Repeats documents so that sources reach their target weights. Rows of one id are drawn alike; null is a source of its own."""
     return mixing.mix_sources(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether they decode to the very text."""
+    """doc_id, n_tokens, ids and the hash of what they decode to, a row for each row; null texts have no token."""
     import public_tokenizers
 
     coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
