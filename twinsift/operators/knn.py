@@ -7,6 +7,7 @@ and passes on its own k best of each query; a window then ranks these. The corpu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +50,35 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fa
     queries: query_id and vector. corpus: code_id, vector and the columns to keep. A query is compared with the vectors of its own
     length; null and empty ones are left out. Any number of queries is worked through in parts of QUERY_BYTES at most, by hash of the id.
     """
-    spark = corpus.sparkSession
+    return _ranked(_search(queries, corpus, k, exclude_self, keep), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _parts(queries: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """Vector length and queries of that length, in parts of QUERY_BYTES at most; one empty part if there is no query."""
     asked = queries.where(F.size("vector") > 0).select("query_id", "vector")
     sizes = asked.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()  # a row for each length
-    found = None
     for dim, n in sizes or [(0, 0)]:
         parts = -(-n * dim * 8 // QUERY_BYTES) or 1
         for part in range(parts):
-            mine = asked.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
-            near = _top_k_part(spark, mine, queries, corpus, dim, k, exclude_self, keep)
-            found = near if found is None else found.unionByName(near)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            yield dim, asked.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
 
 
-def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame, dim: int, k: int, exclude_self: bool, keep: tuple[str, ...]) -> DataFrame:
-    """The k best of each task's rows for queries of one length that fit the driver and the tasks."""
+def _search(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, keep: tuple[str, ...] = (), scorer=None) -> DataFrame:
+    """The k best of each task's rows for each query, part by part."""
+    return reduce(DataFrame.unionByName, [_top_k_part(corpus.sparkSession, mine, queries, corpus, dim, k, exclude_self, keep, scorer) for dim, mine in _parts(queries)])
+
+
+def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame, dim: int, k: int, exclude_self: bool, keep: tuple[str, ...], scorer=None) -> DataFrame:
+    """The k best of each task's rows for queries of one length that fit the driver and the tasks.
+
+    scorer(unit query vectors) gives the rows worth reading, as a condition, and a function of (first query, unit rows, batch) to the
+    block's similarities, -inf where a row is no candidate. Without it all rows are candidates.
+    """
     held = asked.orderBy("query_id").toArrow().combine_chunks()
     kinds = ", ".join(f"{c} {corpus.schema[c].dataType.simpleString()}" for c in ("code_id", *keep))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {kinds}, similarity double"
@@ -74,6 +88,7 @@ def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame,
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     names = ["query_id", "code_id", *keep, "similarity"]
     comparable = np.array(ids.to_pylist())
+    worth, score = scorer(matrix) if scorer else (F.lit(True), lambda at, x, b: matrix[at : at + QUERY_BLOCK] @ x.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,7 +96,7 @@ def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame,
                 continue
             x, own = _unit(b.column(1), dim), np.array(b.column(0).to_pylist())
             for at in range(0, len(matrix), QUERY_BLOCK):
-                sim = np.round(matrix[at : at + QUERY_BLOCK] @ x.T, DIGITS)
+                sim = np.round(score(at, x, b), DIGITS)
                 if exclude_self:
                     sim[comparable[at : at + QUERY_BLOCK, None] == own[None, :]] = -np.inf
                 n = min(k, sim.shape[1])
@@ -94,17 +109,21 @@ def _top_k_part(spark, asked: DataFrame, queries: DataFrame, corpus: DataFrame,
                 c = pa.array(best.ravel()[good])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q[good])), b.column(0).take(c), *(b.column(2 + i).take(c) for i in range(len(keep))), pa.array(value[good])], names)
 
-    return corpus.where(F.size("vector") == dim).select("code_id", "vector", *keep).mapInArrow(run, schema)
+    return corpus.where((F.size("vector") == dim) & worth).select("code_id", "vector", *keep).mapInArrow(run, schema)
 
 
 def all_scores(queries: DataFrame, corpus: DataFrame, digits: int = 4) -> DataFrame:
-    """Cosine of every query with every row: code_id, query_id and score; 0 if either vector has no length. For a stated query set that
-    fits QUERY_BYTES; each task multiplies it with its own rows in blocks."""
-    held = queries.where(F.size("vector") > 0).select("query_id", "vector").orderBy("query_id").limit(QUERY_BYTES // 8).toArrow().combine_chunks()
-    dim = len(held["vector"][0].as_py()) if held.num_rows else 1
-    ids, matrix = held["query_id"], _unit(held["vector"], dim) if held.num_rows else np.zeros((0, dim))
-    if matrix.nbytes > QUERY_BYTES:
-        raise ValueError(f"{matrix.nbytes} bytes of queries: ask for fewer at a time")
+    """Cosine of every query with every row of its length: code_id, query_id and score; 0 if either vector has no length. For a stated
+    query set of any number, in parts of QUERY_BYTES; each task multiplies a part with its own rows in blocks."""
+    return reduce(DataFrame.unionByName, [_scores_part(mine, queries, corpus, dim, digits) for dim, mine in _parts(queries)])
+
+
+def _scores_part(asked: DataFrame, queries: DataFrame, corpus: DataFrame, dim: int, digits: int) -> DataFrame:
+    kinds = f"code_id {corpus.schema['code_id'].dataType.simpleString()}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double"
+    held = asked.orderBy("query_id").toArrow().combine_chunks()
+    if not held.num_rows:
+        return corpus.sparkSession.createDataFrame([], kinds)
+    ids, matrix = held["query_id"], _unit(held["vector"], dim)
     names = ["code_id", "query_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +135,6 @@ def all_scores(queries: DataFrame, corpus: DataFrame, digits: int = 4) -> DataFr
                     code, query = (pa.array(x.ravel()) for x in np.indices(sim.shape))
                     yield pa.RecordBatch.from_arrays([rows.column(0).take(code), pa.array(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids).slice(q, sim.shape[1]).take(query), pa.array(sim.ravel())], names)
 
-    kinds = f"code_id {corpus.schema['code_id'].dataType.simpleString()}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double"
     return corpus.where(F.size("vector") == dim).select("code_id", "vector").mapInArrow(run, kinds)
 
 
@@ -155,13 +173,27 @@ def _nearest_lists(rows: DataFrame, centers: np.ndarray, n: int, columns: list[s
 
 
 def ivf_top_k(queries: DataFrame, indexed: DataFrame, centers: np.ndarray, k: int, n_probe: int = N_PROBE) -> DataFrame:
-    """query_id, code_id, similarity and rank from the lists nearest to each query. The corpus side is joined by list."""
-    from twinsift.functions.vectors import cosine
+    """query_id, code_id, similarity and rank from the lists nearest to each query.
 
-    probes = _nearest_lists(queries.select("query_id", "vector"), centers, n_probe, ["query_id", "vector"]).withColumnRenamed("vector", "q")
-    pairs = indexed.join(probes, "list").select("query_id", "code_id", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    Tasks multiply the rows of each list with the queries that probe it; lists that no query probes aren't read. No row is shuffled.
+    """
+
+    def scorer(matrix: np.ndarray):
+        probed = np.zeros((len(matrix), len(centers)), bool)
+        np.put_along_axis(probed, np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :n_probe], True, 1)
+
+        def score(at: int, x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+            block, asks, own = matrix[at : at + QUERY_BLOCK], probed[at : at + QUERY_BLOCK], b.column(2).to_numpy()
+            sim = np.full((len(block), len(x)), -np.inf)
+            for one in np.unique(own):
+                q, r = np.flatnonzero(asks[:, one]), np.flatnonzero(own == one)
+                sim[np.ix_(q, r)] = block[q] @ x[r].T
+            return sim
+
+        return F.col("list").isin(np.flatnonzero(probed.any(0)).tolist()), score
+
+    asked = queries.where(F.size("vector") == centers.shape[1])
+    return _ranked(_search(asked, indexed, k, keep=("list",), scorer=scorer).drop("list"), k)
 
 
 def write_index(indexed: DataFrame, centers: np.ndarray, path: str) -> None:
@@ -178,20 +210,23 @@ def read_index(spark, path: str) -> tuple[DataFrame, np.ndarray]:
 
 
 def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int, bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = 42, dim: int = 64) -> DataFrame:
-    """Candidates share the signs of ``bits`` random projections in one of several tables."""
-    from twinsift.functions.vectors import cosine
-
+    """Candidates share the signs of ``bits`` random projections in one of several tables. Signs are compared and candidates kept where
+    the rows lie: neither buckets nor vectors are shuffled."""
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
 
-    @F.pandas_udf("array<int>")
-    def buckets(v):
-        import pandas as pd
+    def buckets(x: np.ndarray) -> np.ndarray:
+        return ((x @ planes.T > 0).reshape(len(x), tables, bits) * (1 << np.arange(bits))).sum(2)
 
-        x = (np.stack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list((x * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)))
+    def scorer(matrix: np.ndarray):
+        asks = buckets(matrix)
 
-    left = queries.select("query_id", F.col("vector").alias("q"), F.explode(buckets("vector")).alias("bucket"))
-    right = corpus.select("code_id", "vector", F.explode(buckets("vector")).alias("bucket"))
-    pairs = right.join(left, "bucket").dropDuplicates(["query_id", "code_id"]).select("query_id", "code_id", F.round(cosine(F.col("q"), F.col("vector")), DIGITS).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "code_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        def score(at: int, x: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+            sim, own, block = matrix[at : at + QUERY_BLOCK] @ x.T, buckets(x), asks[at : at + QUERY_BLOCK]
+            met = np.zeros(sim.shape, bool)
+            for t in range(tables):
+                met |= block[:, t, None] == own[None, :, t]
+            return np.where(met, sim, -np.inf)
+
+        return F.lit(True), score
+
+    return _ranked(_search(queries.where(F.size("vector") == dim), corpus, k, scorer=scorer), k)
