@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.operators import knn, metrics, migration, pairs, stoplist, uniqueness
+from twinsift import schemas
+from twinsift.operators import benchmark, calibration, knn, metrics, migration, pairs, stoplist, uniqueness
 from twinsift.operators.embedder import HashingEmbedder
 from twinsift.plans import registry
 from twinsift.sources import sinks, tables
@@ -235,3 +236,44 @@ def test_identifiers_without_java_keywords(spark):
     from twinsift.functions.text import identifier_set_java
 
     assert spark.createDataFrame([("class Foo return bar def x",)], "c string").select(identifier_set_java(F.col("c"))).first()[0] == ["Foo", "bar", "def"]
+
+
+def test_curve_over_bins(spark):
+    r = random.Random(5)
+    rows = [(r.choice([r.uniform(-1, 1), r.uniform(-1e9, 1e9), 0.0, float("inf")]), r.randint(0, 1)) for _ in range(300)]
+    got = {c.score: (c.tp, c.fp, c.p, c.n) for c in metrics.curve(spark.createDataFrame(rows, "score double, label int")).collect()}
+    p, n = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    assert got == {t: (sum(y for s, y in rows if s >= t), sum(1 - y for s, y in rows if s >= t), p, n) for t, _ in rows}
+    odd = metrics.curve(spark.createDataFrame([(None, 1), (float("nan"), 0), (0.5, 1)], "score double, label int")).collect()
+    assert sorted((str(c.score), c.tp, c.fp) for c in odd) == [("0.5", 1, 1), ("None", 2, 1), ("nan", 0, 1)]
+    assert metrics.curve(spark.createDataFrame([], "score double, label int")).count() == 0
+
+
+def test_benchmark_of_searches(spark):
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(60)], "code_id long, vector array<double>")
+    half = lambda q, m: knn.top_k(q, e.where("code_id < 30"), m)
+    got = {r.engine: r for r in benchmark.top_k_benchmark(e, {"half": (half, {"rows": 30})}, k=5, n_queries=4).collect()}
+    assert (got["exact"].n, got["exact"].d, got["exact"].k, got["exact"].queries) == (60, 8, 5, 4)
+    assert got["exact"].recall_mean == got["exact"].tau_mean == 1 and 0 <= got["half"].recall_mean < 1
+    assert got["half"].params == '{"rows": 30}' and 0 < got["half"].p50_ms <= got["half"].p95_ms
+    assert benchmark.top_k_benchmark(e.limit(0), {}, n_queries=4).first().p50_ms is None
+
+
+def test_calibration_tables(spark):
+    rows = spark.createDataFrame([("x", 1, "x", 2, 1, 0.9), ("x", 1, "x", 3, 0, 0.2)], "a_lang string, a_uid long, b_lang string, b_uid long, label int, score double")
+    stored = calibration.scores_table(rows, 0.5, "r", "m")
+    assert stored.columns == [c.split()[0] for c in schemas.TABLES["practice_scores"][0].split(", ")]
+    assert sorted(r.decision for r in stored.collect()) == ["OK", "Plagiarism"]
+    t = calibration.thresholds_table(rows, "r", "m/mean/2")
+    assert t.columns == [c.split()[0] for c in schemas.TABLES["practice_thresholds"][0].split(", ")]
+    row = t.first()
+    assert (round(row.threshold, 6), row.roc_auc, row.pr_auc, row.f1_at_t) == (0.9, 1, 1, 1) and row.ts is not None
+
+
+def test_pair_rows(spark):
+    found = spark.createDataFrame([("x", 1, 2)], "lang string, a_uid long, b_uid long")
+    stored = pairs.labelled(found, 0, "random_neg")
+    assert stored.columns == [c.split()[0] for c in schemas.TABLES["practice_pairs"][0].split(", ")]
+    row = stored.first()
+    assert (row.a_uid, row.b_lang, row.label, row.notes) == ("1", "x", 0, "random_neg") and len(row.pair_id) == 64

@@ -16,17 +16,17 @@ PROFILE = {"model": "hashing", "pooling": "mean", "transform_ver": 2}
 
 
 def add_codes(rows: DataFrame, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of codes and of embeddings for uploads (lang, code); blank uploads are left out."""
+    """Rows of codes and of embeddings for uploads (lang, code), with the time; blank uploads are left out."""
     e = embedder or HashingEmbedder()
     kept = rows.where(F.coalesce(F.trim("code"), F.lit("")) != "")
-    codes = kept.select(new_id(F.col("lang"), F.col("code")).alias("code_id"), F.lit("").alias("old_id"), "lang", F.lit("").alias("split"), F.lit("").alias("label"), "code", F.sha2("code", 256).alias("code_hash"), F.lit("api").alias("source"))
+    codes = kept.select(new_id(F.col("lang"), F.col("code")).alias("code_id"), F.lit("").alias("old_id"), "lang", F.lit("").alias("split"), F.lit("").alias("label"), "code", F.sha2("code", 256).alias("code_hash"), F.lit("api").alias("source"), F.current_timestamp().alias("ingested_at"))
     return codes, embed_codes(codes, e)
 
 
 def embed_codes(codes: DataFrame, embedder: Embedder) -> DataFrame:
     """Embeddings of codes under the profile."""
     fixed = [F.lit(v).alias(k) for k, v in PROFILE.items()]
-    return codes.select("code_id", "lang", *fixed, F.lit(embedder.dim).alias("dim"), embed(F.col("code"), embedder).alias("vector"))
+    return codes.select("code_id", "lang", *fixed, F.lit(embedder.dim).alias("dim"), embed(F.col("code"), embedder).alias("vector"), F.current_timestamp().alias("created_at"))
 
 
 def refresh_profile(codes: DataFrame, embeddings: DataFrame, embedder: Embedder, replace: bool = False) -> DataFrame:

@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Scores are dealt by steps of this size of their arc tangent, whatever their range: 6,437 bins at most.
+BINS = 2048
+
+
 def curve(scored: DataFrame) -> DataFrame:
-    """score, tp, fp, p and n at each distinct score as threshold (label 1 is positive)."""
+    """score, tp, fp, p and n at each distinct score as threshold (label 1 is positive).
+
+    Running sums within a bin of scores, on top of those of the bins above: only the bins' totals pass through one task.
+    """
     per = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum((1 - F.col("label")).cast("long")).alias("neg"))
-    down, all_of = Window.orderBy(F.desc("score")), Window.partitionBy(F.lit(1))  # over distinct scores
-    return per.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(all_of).alias("p"), F.sum("neg").over(all_of).alias("n"))
+    per = per.withColumn("bin", F.when(F.isnan("score"), F.lit(1 << 20)).otherwise(F.floor(F.atan(F.col("score").cast("double")) * BINS)).cast("long"))
+    above, all_of = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    bins = per.groupBy(F.col("bin").alias("of")).agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).withColumnRenamed("of", "bin")
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    bins = bins.select(F.col("bin").alias("of"), before("bp").alias("tp0"), before("bn").alias("fp0"), F.sum("bp").over(all_of).alias("p"), F.sum("bn").over(all_of).alias("n"))
+    down = Window.partitionBy("bin").orderBy(F.desc("score"))
+    placed = per.join(F.broadcast(bins), F.col("bin").eqNullSafe(F.col("of")))
+    return placed.select("score", "pos", "neg", (F.sum("pos").over(down) + F.col("tp0")).alias("tp"), (F.sum("neg").over(down) + F.col("fp0")).alias("fp"), "p", "n")
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

@@ -98,3 +98,17 @@ def group_pairs(rows: DataFrame, per_group: int, negative_ratio: float, seed: in
     neg = unlike(min(m, max(total, 1)))
     neg = neg.withColumn("p", F.row_number().over(Window.orderBy("r"))).where(F.col("p") <= n).select("a_uid", "b_uid", F.lit(0).alias("label"))
     return pos.unionByName(neg)
+
+
+def labelled(found: DataFrame, label: int, notes: str, split: str = "valid") -> DataFrame:
+    """Pairs (lang, a_uid, b_uid) as rows of the table practice_pairs; pair_id follows from the rest, so that reruns agree."""
+    ids = [F.col(c).cast("string").alias(c) for c in ("a_uid", "b_uid")]
+    rows = found.select(F.lit(split).alias("split"), F.col("lang").alias("a_lang"), ids[0], F.col("lang").alias("b_lang"), ids[1], F.lit(label).cast("byte").alias("label"), F.lit(notes).alias("notes"))
+    return rows.select(F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("pair_id"), *rows.columns)
+
+
+def added_synthetic(augmented: DataFrame, originals: DataFrame, suffix: str, stored: DataFrame) -> DataFrame:
+    """Rows of practice_pairs for augmented texts and their originals, of which ``stored`` holds neither orientation."""
+    found = synthetic_positives(augmented, originals, suffix)
+    fresh = without_known(found, stored.select("a_uid", "b_uid"))
+    return labelled(fresh, 1, "synth_positive")

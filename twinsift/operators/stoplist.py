@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.functions.text import shingle_id, shingles, tokens
@@ -41,19 +41,21 @@ def stoplist_table(codes: DataFrame, n: int, share: float, corpus_id: str, versi
 
 
 def masked_overlap(pairs: DataFrame, codes: DataFrame, stop: DataFrame, n: int) -> DataFrame:
-    """a_id, b_id, label, raw and masked Jaccard of shingle sets, by counting shared shingles of each pair.
+    """a_id, b_id, label, raw and masked Jaccard of shingle sets.
 
-    Only shingles of documents in pairs are exploded, and intersections are counted by key, not by array operations.
+    Texts of documents in pairs are read once: each document gets the 64-bit hashes of its shingles, all and those that aren't stop-listed,
+    and each pair intersects two such lists. A list is as long as its document; hashes of two texts agree by chance in one of 2^64.
     """
     ids = pairs.select(F.col("a_id").alias("code_id")).unionByName(pairs.select(F.col("b_id").alias("code_id"))).distinct()
-    sets = shingle_sets(codes.join(ids, "code_id", "left_semi"), n)
-    sets = sets.join(stop.select("lang", "shingle", F.lit(1).alias("stop")), ["lang", "shingle"], "left").select("code_id", "shingle", F.coalesce("stop", F.lit(0)).alias("stop"))
-    size = sets.groupBy("code_id").agg(F.count(F.lit(1)).alias("size"), F.sum("stop").alias("stops"))
-    side = lambda p: sets.select(F.col("code_id").alias(f"{p}_id"), "shingle", F.col("stop").alias(f"{p}_stop"))
-    shared = pairs.select("a_id", "b_id").distinct().join(side("a"), "a_id").join(side("b"), ["b_id", "shingle"])
-    shared = shared.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("both"), F.sum(F.when((F.col("a_stop") == 0) & (F.col("b_stop") == 0), 1).otherwise(0)).alias("both_kept"))
-    named = lambda p: size.select(F.col("code_id").alias(f"{p}_id"), F.col("size").alias(f"{p}_size"), F.col("stops").alias(f"{p}_stops"))
-    j = pairs.join(named("a"), "a_id", "left").join(named("b"), "b_id", "left").join(shared, ["a_id", "b_id"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    ratio = lambda both, a, b: F.coalesce(both / F.nullif(a + b - both, F.lit(0)), F.lit(0.0))
-    return j.select("a_id", "b_id", "label", ratio(z("both"), z("a_size"), z("b_size")).alias("raw"), ratio(z("both_kept"), z("a_size") - z("a_stops"), z("b_size") - z("b_stops")).alias("masked"))
+    sets = shingle_sets(codes.join(ids, "code_id", "left_semi"), n).join(stop.select("lang", "shingle", F.lit(1).alias("stop")), ["lang", "shingle"], "left")
+    key = F.xxhash64("shingle")
+    held = sets.groupBy("code_id").agg(F.collect_list(key).alias("all"), F.collect_list(F.when(F.col("stop").isNull(), key)).alias("kept"))
+    side = lambda p: held.select(F.col("code_id").alias(f"{p}_id"), F.struct("all", "kept").alias(p))
+    j = pairs.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left")
+
+    def jaccard(kind: str) -> Column:
+        both = F.size(F.array_intersect(f"a.{kind}", f"b.{kind}"))
+        any_of = F.size(f"a.{kind}") + F.size(f"b.{kind}") - both
+        return F.when(F.col("a").isNull() | F.col("b").isNull() | (any_of == 0), F.lit(0.0)).otherwise(F.try_divide(both, any_of))
+
+    return j.select("a_id", "b_id", "label", jaccard("all").alias("raw"), jaccard("kept").alias("masked"))

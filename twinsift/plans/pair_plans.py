@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions import scoring, vectors
 from twinsift.functions.text import normalize_sql_light, rename_identifiers
-from twinsift.operators import knn, metrics, pairs, stoplist
+from twinsift.operators import benchmark, calibration, knn, metrics, pairs, stoplist
 from twinsift.sources.tables import codes, embeddings, read
 
 WIDTH = 20
@@ -135,6 +135,17 @@ def ann_benchmark(spark, d):
     return both.agg(F.lit("ivf").alias("engine"), F.count(F.lit(1)).alias("queries"), F.avg("recall").alias("recall_mean"), F.percentile("recall", 0.5).alias("recall_p50"), F.avg("tau").alias("tau_mean"))
 
 
+def top_k_benchmark(spark, d):
+    """Latency and agreement with exact search, 20 queries one by one (the number is the benchmark's parameter)."""
+    e = embeddings(spark, d).select("code_id", "vector")
+    indexed, centers = knn.ivf_index(e)
+    engines = {
+        "ivf": (lambda q, m: knn.ivf_top_k(q, indexed, centers, m), {"n_lists": len(centers), "n_probe": knn.N_PROBE}),
+        "lsh": (lambda q, m: knn.lsh_top_k(q, e, m), {"bits": knn.LSH_BITS, "tables": knn.LSH_TABLES}),
+    }
+    return benchmark.top_k_benchmark(e, engines, n_queries=20)
+
+
 def latency_percentiles(spark, d):
     e = read(spark, d, "events")
     return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 9).alias("p50"), F.round(F.percentile("value", 0.95), 9).alias("p95"))
@@ -195,6 +206,20 @@ def calibrate_threshold(spark, d):
     return _round(one.withColumn("metric", F.lit("cosine")), "f1", "precision", "recall", "roc_auc", "pr_auc")
 
 
+def stored_pairs(spark, d):
+    """Synthetic positives as stored rows; every uid that ends in 27 has its pair already, the other way round."""
+    rows = codes(spark, d).select("lang", F.col("code_id").cast("string").alias("uid"))
+    augmented = rows.where(F.col("uid").endswith("7")).select("lang", F.concat("uid", F.lit("__aug")).alias("uid"))
+    stored = rows.where(F.col("uid").endswith("27")).select(F.col("uid").alias("a_uid"), F.concat("uid", F.lit("__aug")).alias("b_uid"))
+    return pairs.added_synthetic(augmented, rows, "__aug", stored).drop("pair_id")
+
+
+def stored_scores(spark, d):
+    """The scored pairs of a calibration run, less its time."""
+    s = _scored(spark, d).select(F.lit("x").alias("a_lang"), F.col("a_id").alias("a_uid"), F.lit("x").alias("b_lang"), F.col("b_id").alias("b_uid"), "label", "score")
+    return calibration.scores_table(s, 0.1, "run", "m1").select("run_id", "model", "metric", "a_uid", "b_uid", F.col("label").cast("int").alias("label"), "decision")
+
+
 _ROWS = "rows_ AS (SELECT lang, doc_id AS uid, source AS split, length(text) AS size, md5(text) AS md5 FROM documents)"
 _LIGHT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '(?m)//.*$', '', 'g'), '(?m)#.*$', '', 'g'), '[\\t ]+', ' ', 'g')"
 _MD5 = f"md5_pairs AS (SELECT a.lang, a.doc_id AS a_uid, b.doc_id AS b_uid, 1 AS label, 'norm_md5_dup' AS notes FROM (SELECT *, md5({_LIGHT}) AS k FROM documents) a JOIN (SELECT *, md5({_LIGHT}) AS k FROM documents) b ON a.lang = b.lang AND a.k = b.k AND a.doc_id < b.doc_id ORDER BY 2, 3 LIMIT 2000)"
@@ -272,6 +297,9 @@ SELECT lang, a_uid, b_uid FROM (SELECT *, row_number() OVER (PARTITION BY lang O
     "recall_at_k": (recall_at_k, f"WITH {_BOTH} SELECT e.query_id, round(count(c.code_id)::DOUBLE / count(*), 9) AS recall FROM exact e LEFT JOIN cut c ON e.query_id = c.query_id AND e.code_id = c.code_id GROUP BY e.query_id"),
     "kendall_tau": (kendall_tau, f"WITH {_BOTH}, b AS (SELECT e.query_id, e.rank AS ra, c.rank AS rb FROM exact e JOIN cut c USING (query_id, code_id)) SELECT x.query_id, round(sum(sign(y.rb - x.rb))::DOUBLE / count(*), 9) AS tau FROM b x JOIN b y ON x.query_id = y.query_id AND x.ra < y.ra GROUP BY x.query_id"),
     "ann_benchmark": (ann_benchmark, None),
+    "top_k_benchmark": (top_k_benchmark, None),
+    "stored_pairs": (stored_pairs, "SELECT 'valid' AS split, lang AS a_lang, doc_id || '__aug' AS a_uid, lang AS b_lang, doc_id::VARCHAR AS b_uid, 1::TINYINT AS label, 'synth_positive' AS notes FROM documents WHERE doc_id::VARCHAR LIKE '%7' AND doc_id::VARCHAR NOT LIKE '%27'"),
+    "stored_scores": (stored_scores, f"WITH {_SCORED} SELECT 'run' AS run_id, 'm1' AS model, 'cosine' AS metric, a_id::VARCHAR AS a_uid, b_id::VARCHAR AS b_uid, label, CASE WHEN score >= 0.1 THEN 'Plagiarism' ELSE 'OK' END AS decision FROM scored"),
     "latency_percentiles": (latency_percentiles, "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events GROUP BY event_type"),
     "vector_norm_diag": (vector_norm_diag, "WITH n AS (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT count(*) FILTER (WHERE n = 0) AS zero, round(min(n), 6) AS min, round(max(n), 6) AS max, round(avg(n), 6) AS mean FROM n"),
     "pair_coverage": (pair_coverage, f"WITH {_GROUPED}, v AS (SELECT DISTINCT vec_id FROM embeddings) SELECT count(*) AS total, count(*) FILTER (WHERE a_uid IN (SELECT vec_id FROM v) AND b_uid IN (SELECT vec_id FROM v)) AS with_vecs, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM grouped"),
