@@ -21,7 +21,6 @@ def scores_table(scored: DataFrame, threshold: float, run_id: str, model: str, m
 
 def thresholds_table(scored: DataFrame, run_id: str, profile: str, split: str = "valid", metric: str = "cosine") -> DataFrame:
     """The row of practice_thresholds: the lowest threshold of greatest F1, with both areas."""
-    best = metrics.best_f1(scored).withColumn("roc_auc", metrics.roc_auc(scored).scalar()).withColumn("pr_auc", metrics.average_precision(scored).scalar())
     numbers = {"threshold": "threshold", "roc_auc": "roc_auc", "pr_auc": "pr_auc", "precision": "precision_at_t", "recall": "recall_at_t", "f1": "f1_at_t"}
     fixed = [F.lit(v).alias(k) for k, v in {"profile": profile, "split": split, "metric": metric}.items()]
-    return best.select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts"), *fixed, *[F.col(c).cast("float").alias(n) for c, n in numbers.items()])
+    return metrics.summary(scored).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("ts"), *fixed, *[F.col(c).cast("float").alias(n) for c, n in numbers.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,23 +26,35 @@ def curve(scored: DataFrame) -> DataFrame:
     return placed.select("score", "pos", "neg", (F.sum("pos").over(down) + F.col("tp0")).alias("tp"), (F.sum("neg").over(down) + F.col("fp0")).alias("fp"), "p", "n")
 
 
+def _auc() -> Column:
+    won = F.col("neg") * (F.col("tp") - F.col("pos")) + F.lit(0.5) * F.col("neg") * F.col("pos")
+    return F.sum(won) / F.nullif(F.first("p") * F.first("n"), F.lit(0))
+
+
+def _precision_sum() -> Column:
+    return F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Share of positive and negative pairs in right order, ties count half."""
-    c = curve(scored)
-    won = F.col("neg") * (F.col("tp") - F.col("pos")) + F.lit(0.5) * F.col("neg") * F.col("pos")
-    return c.agg((F.sum(won) / F.nullif(F.first("p") * F.first("n"), F.lit(0))).alias("roc_auc"))
+    return curve(scored).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """Sum over thresholds of the step in recall times precision."""
-    return curve(scored).agg(F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
+    return curve(scored).agg(_precision_sum().alias("average_precision"))
 
 
 def best_f1(scored: DataFrame) -> DataFrame:
     """The lowest threshold of greatest F1, with precision and recall there."""
+    return summary(scored).drop("roc_auc", "pr_auc")
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """threshold, f1, precision and recall as of best_f1, roc_auc and pr_auc, from one curve."""
     c = curve(scored).withColumn("f1", F.lit(2.0) * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p")))
-    best = c.agg(F.max_by(F.struct("score", "f1", "tp", "fp", "p"), F.struct(F.col("f1"), -F.col("score"))).alias("b"))
-    return best.select(F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"), (F.col("b.tp") / F.nullif(F.col("b.tp") + F.col("b.fp"), F.lit(0))).alias("precision"), (F.col("b.tp") / F.nullif(F.col("b.p"), F.lit(0))).alias("recall"))
+    best = c.agg(F.max_by(F.struct("score", "f1", "tp", "fp", "p"), F.struct(F.col("f1"), -F.col("score"))).alias("b"), _auc().alias("roc_auc"), _precision_sum().alias("pr_auc"))
+    return best.select(F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"), (F.col("b.tp") / F.nullif(F.col("b.tp") + F.col("b.fp"), F.lit(0))).alias("precision"), (F.col("b.tp") / F.nullif(F.col("b.p"), F.lit(0))).alias("recall"), "roc_auc", "pr_auc")
 
 
 def confusion(scored: DataFrame, threshold: float, *by: str) -> DataFrame:

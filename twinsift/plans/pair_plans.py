@@ -201,8 +201,7 @@ def masked_evaluation(spark, d):
 
 def calibrate_threshold(spark, d):
     """One row of the thresholds table."""
-    s = _scored(spark, d)
-    one = metrics.best_f1(s).withColumn("roc_auc", metrics.roc_auc(s).scalar()).withColumn("pr_auc", metrics.average_precision(s).scalar())
+    one = metrics.summary(_scored(spark, d))
     return _round(one.withColumn("metric", F.lit("cosine")), "f1", "precision", "recall", "roc_auc", "pr_auc")
 
 
