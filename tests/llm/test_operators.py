@@ -484,6 +484,51 @@ def test_occurrences_all_count(spark):
     assert all(r.doc_id != r.other_id for r in substring.shared_passages(d, within=False).collect())
 
 
+def linked(found, n=45):
+    """Pairs of documents that have a row together, or rows with one representative whose spans there overlap by n words."""
+    spans, pairs = {}, {frozenset((r.doc_id, r.other_id)) for r in found}
+    for r in found:
+        spans.setdefault(r.other_id, []).append((r.doc_id, r.other_start, r.other_end))
+    for rows in spans.values():
+        pairs |= {frozenset((a, b)) for a, s, e in rows for b, p, q in rows if min(e, q) - max(s, p) >= n}
+    return pairs
+
+
+def test_no_shared_run_is_lost(spark):
+    """Pieces of a passage, each with other ends and words said over and over here and there: all pairs that share 45 words running."""
+    r = random.Random(8)
+    texts = {}
+    for k in range(4):
+        passage = [*prose(7100 + k, 50).split(), *(["the"] * 30 + ["of", "it"] * 10 if k % 2 else prose(7200 + k, 50).split()), *prose(7300 + k, 30).split()]
+        for i in range(60):
+            n = r.choice([30, 40, 44, 45, 46, 50, 70])
+            at = r.randrange(len(passage) - n + 1)
+            texts[100 * k + i] = [*prose(8000 + 200 * k + 2 * i, r.randint(0, 30)).split(), *passage[at : at + n], *prose(8001 + 200 * k + 2 * i, r.randint(0, 30)).split()]
+    windows = {i: {tuple(w[s : s + 45]) for s in range(len(w) - 44)} for i, w in texts.items()}
+    want = {frozenset((i, j)) for i in texts for j in texts if i < j and not windows[i].isdisjoint(windows[j])}
+    d = spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in texts.items()], SCHEMA)
+    for tasks in (None, 150):
+        assert len(want) > 100 and not want - linked(substring.shared_passages(d, tasks=tasks).collect())
+
+
+def test_ends_lose_no_shared_run(spark):
+    """45 words with ends so different that they would bring the passage below the least share of equal words."""
+    shared, x, y = prose(51, 45).split(), prose(52, 90).split(), prose(53, 90).split()
+    alike = lambda w: [v if i % 3 else f"new{i}" for i, v in enumerate(w)]
+    one, two = [*x, *shared, *y], [*alike(x), *shared, *alike(y[::-1])[::-1]]
+    d = spark.createDataFrame([(i, " ".join(w), "en", "a", 0) for i, w in enumerate((one, two))], SCHEMA)
+    assert any(r.start <= 90 and r.end >= 135 and r.identity >= 0.8 for r in substring.shared_passages(d).collect())
+
+
+def test_query_has_every_document_with_a_passage(spark, tmp_path):
+    texts = {i: f"{prose(60 + i, 40)} {prose(59, 50) if i % 2 else ''} {prose(80 + i, 40)}" for i in range(10)}
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op6_substring(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {1, 3, 5, 7, 9} and all(frozenset((1, i)) in linked(found) for i in (3, 5, 7, 9))
+    for r in found:
+        assert set(prose(59, 50).split()) <= set(texts[r.doc_id].split()[r.start : r.end]) and (r.other_id, r.doc_id) in {(q.doc_id, q.other_id) for q in found}
+
+
 @pytest.mark.parametrize("kind", [("every", 8), ("every", 6), ("edits", 0.1)])
 def test_fuzzy_passages_are_found(spark, kind):
     assert fuzzy_recall(spark, kind) >= 0.95
