@@ -344,6 +344,19 @@ def test_mix_comes_near_and_repeats(spark):
     assert emitted == Counter({r.doc_id: r.n_copies for r in rows if r.n_copies})
 
 
+def test_blocks_take_little_memory():
+    """n-grams of many short texts: what is held at once doesn't follow from the number of texts."""
+    import tracemalloc
+
+    texts = [prose(k % 50, 300) for k in range(2500)]
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in quality.indicators(texts)) > 1
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 # --- substring ---
 
 
