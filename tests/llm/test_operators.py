@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -127,6 +128,16 @@ def test_quality_slices_lose_nothing(monkeypatch):
     assert (np.concatenate([w for _, _, w in quality.word_blocks(texts)]) == words).all()
 
 
+def test_quality_sample_is_one_buffer():
+    """Thousands of small arrays would stay with the driver after the fit."""
+    rows = [np.arange(k % 5 * 100, dtype=np.int32) for k in range(1000)]
+    parts = [pa.array([g.tobytes() for g in part], pa.binary()) for part in (rows[:0], rows[:300], rows[300:])]
+    got = quality.gram_rows(pa.chunked_array([*parts, parts[1].slice(7, 2)], pa.binary()))
+    assert len(got) == 1002 and all((a == b).all() and len(a) == len(b) for a, b in zip(got, [*rows, rows[7], rows[8]]))
+    assert len({r.base is None or id(r.base.base) for r in got}) == 1
+    assert quality.gram_rows(pa.chunked_array([], pa.binary())) == []
+
+
 def test_quality_against_plain_steps(spark, docs):
     """Counts, ratios and scores from each text's n-grams, one text at a time; the model's weights are its own."""
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -650,6 +661,39 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_least_reachable(edges):
+    u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    ids, least = grouped.least_reachable(u, v)
+    ends = sorted({*u.tolist(), *v.tolist()})
+    assert dict(zip(ids.tolist(), least.tolist())) == reachable(ends, lambda i, j: (i, j) in edges or (j, i) in edges)
+
+
+@pytest.mark.parametrize("few", [0, 59, 1000])  # the distinct edges are 60
+def test_components_of_few_edges(spark, few):
+    edges = [(9, 9)] + [(k % 7 + 10 * (k % 3), 100 + k) for k in range(60)] * 2
+    want = reachable(sorted({x for u, v in edges if u != v for x in (u, v)}), lambda i, j: (i, j) in set(edges) or (j, i) in set(edges))
+    got = {r.node: r.component for r in grouped.components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()}
+    assert got == want
+    assert grouped.components(spark.createDataFrame([], "u long, v long"), few=few).collect() == []
+
+
+def test_near_copies_of_few_links_take_few_jobs(spark):
+    """The driver keeps a plan, its figures and a thread or more for each job: on a small corpus the links take no rounds of their own."""
+    import corpus_pipeline as C
+
+    texts = [prose(700 + k // 4, 200) + f" end{k}" for k in range(40)]
+    d = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], SCHEMA)
+    sc = spark.sparkContext
+    sc.setJobGroup("few links", "near copies")
+    try:
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(d, C.SHINGLE, C.NEAR_BITS, C.CHECK_BITS, C.NEAR).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: k // 4 * 4 for k in range(40)}
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("few links")) <= 60
+
+
 # --- host rules ---
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, materialize, scratch, texts
+from .common import BROADCAST_ROWS, broadcast_if_small, keep, materialize, scratch, texts
 from .grouped import components, map_sorted_groups, runs
 
 #: Cost of a shuffled row and of a verified candidate, in microseconds as measured on one core.
@@ -353,7 +353,7 @@ def near_copies(docs: DataFrame, width: int, threshold: int, check_bits: int, si
     sides = [known.select("node", F.col(x).alias("fp"), F.col(y).alias("fp2")) for x, y in (("fp", "fp2"), ("fp2", "fp"))]
     with scratch():
         edges = [materialize(find_links(x, allocate(*bit_statistics(x), threshold), threshold, check_bits)) for x in sides]
-        loose = materialize(components(edges[0].unionByName(edges[1])))
-        found = keep(materialize(components(verify_links(slim, known, loose, width, check_bits, similarity, block))))
+        loose = materialize(components(edges[0].unionByName(edges[1]), few=BROADCAST_ROWS))
+        found = keep(materialize(components(verify_links(slim, known, loose, width, check_bits, similarity, block), few=BROADCAST_ROWS)))
     named = nodes.join(found, "node", "left").select(*of, F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, of).select("doc_id", "component_id")
